@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """On shingles of five words; two bits of 64 stand for a similarity well above 0.8."""
-    return simhash.one_of_each(docs, width=5, most=2)
+    """On shingles of five words, for a similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, simhash.Similar(width=5))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,9 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,27 +39,43 @@ from .common import map_rows, staged
 #: Members of a key that are compared in pairs.
 BUCKET = 24
 CHUNK = 1 << 16
+MASK = (1 << 64) - 1
 
 
 def fingerprint(text: str | None, width: int) -> int:
     """The SimHash of the word shingles, as a signed integer."""
+    return fingerprint_words(text, width, 1)[0]
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other 64 bits for each hash: a multiply-xorshift mixer with an offset for each k."""
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & MASK)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint_words(text: str | None, width: int, count: int) -> list[int]:
+    """A SimHash of count times 64 bits, as signed integers; the first is of the hashes themselves."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # of bytes: ASCII letters and spaces only
     if not words:
-        return 0
+        return [0] * count
     if len(words) < width:
         shingles: Iterator[bytes] = iter([b" ".join(words)])
         n = 1
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
         n = len(words) - width + 1
-    digest, ones = partial(xxhash.xxh64_intdigest, seed=42), np.zeros(64, np.int64)
+    digest, ones = partial(xxhash.xxh64_intdigest, seed=42), np.zeros((count, 64), np.int64)
     for low in range(0, n, CHUNK):
-        count = min(CHUNK, n - low)
-        hashes = np.fromiter(map(digest, shingles if n <= CHUNK else (next(shingles) for _ in range(count))), np.uint64, count)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+        size = min(CHUNK, n - low)
+        hashes = np.fromiter(map(digest, islice(shingles, size)), np.uint64, size)
+        for k in range(count):
+            some = remixed(hashes, k) if k else hashes
+            ones[k] += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,24 +188,160 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    marked = staged(fingerprints(docs, width, id_col, text_col))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    stars = components(links(nodes.select("fp"), most, bucket))
+def named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id of documents (doc_id, fp) by the edges between fingerprints."""
+    stars = components(edges)
     linked = stars.join(nodes, stars["node"] == nodes["fp"]).select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links of at most ``most`` bits)."""
+    marked = staged(fingerprints(docs, width, id_col, text_col))
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    return named(marked, nodes, links(nodes.select("fp"), most, bucket))
+
+
+# Similar texts: fingerprints that differ in many bits
+
+
+@dataclass(frozen=True)
+class Similar:
+    """Settings for a similarity of shingles.
+
+    At a similarity J, fingerprints differ in a share acos(2J / (1 + J)) / pi
+    of their bits, 0.15 at 0.8. No few segments can then be sure to
+    hold one that differs by a bit at most, so there are more segments than
+    that, of which one does so in most cases: 94 % at 0.8, 99 % at 0.87.
+    ``segment`` has to grow with the logarithm of the corpus: pairs by chance
+    share a key at a rate of about (segment + 1) / 2^segment for each segment.
+    """
+
+    width: int = 5
+    words: int = 5  #: of 64 bits
+    segment: int = 20  #: bits
+    near_first: int = 14  #: bits of the first 64
+    near_all: int = 54  #: bits of all
+    bucket: int = 8
+
+    @property
+    def per_word(self) -> int:
+        return 64 // self.segment
+
+
+def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that keep the components of fingerprints within ``most`` bits, one fewer than members.
+
+    Each component is walked from a member on; who has been reached isn't
+    compared any more, so a tight group takes about one comparison a member.
+    """
+    parents, children = [], []
+    rest = fp
+    while len(rest) > 1:
+        front, rest = [rest[:1]], rest[1:]
+        while front and len(rest):
+            block = front.pop()
+            step = max(1, (1 << 22) // len(rest))
+            if len(block) > step:
+                front.append(block[step:])
+                block = block[:step]
+            near = np.bitwise_count((block[:, None] ^ rest[None, :]).view(np.uint64)) <= most
+            hit = near.any(axis=0)
+            if hit.any():
+                parents.append(block[near.argmax(axis=0)[hit]])
+                children.append(rest[hit])
+                front.append(rest[hit])
+                rest = rest[~hit]
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty, *parents]), np.concatenate([empty, *children])
+
+
+def candidates(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp) sorted by key -> links (a, b) of fingerprints of one key within ``most`` bits.
+
+    All pairs of a key of up to ``bucket`` members, a forest of a larger one. Of a key
+    that goes on in the next batch, eight bytes a member are kept.
+    """
+    key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+    waiting: list[np.ndarray] = []  # of the last key, as long as it goes on
+
+    def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[opens, len(key)])
+        out = [forest(fp[a : a + n], most) for a, n in zip(opens[sizes > bucket], sizes[sizes > bucket])]
+        small = np.repeat(sizes <= bucket, sizes)
+        key, fp = key[small], fp[small]
+        for d in range(1, bucket):
+            same = np.flatnonzero(key[d:] == key[:-d])
+            if not len(same):
+                break
+            a, b = fp[same], fp[same + d]
+            good = bits(a ^ b) <= most
+            out.append((a[good], b[good]))
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if len(key) and now[-1] == key[0] and now[0] == key[0]:
+            waiting.append(prints)
+            continue
+        key, fp = np.r_[np.full(sum(map(len, waiting)), key[0] if len(key) else 0), now], np.concatenate([*waiting, prints])
+        last = int(np.searchsorted(key, key[-1]))
+        yield found(key[:last], fp[:last])
+        key, waiting = key[last:][:1], [fp[last:]]
+    if waiting:
+        fp = np.concatenate(waiting)
+        yield found(np.full(len(fp), key[0]), fp)
+
+
+def similar_links(nodes: DataFrame, settings: Similar) -> DataFrame:
+    """Links (a, b) between the fp of nodes (fp, w1, w2, ...)."""
+    s, per = settings.segment, settings.per_word
+    words = ["fp", *(f"w{k}" for k in range(1, settings.words))]
+    parts = F.array(*(F.shiftrightunsigned(w, s * k).bitwiseAND((1 << s) - 1) for w in words for k in range(per)))
+    segments = nodes.select("fp", F.posexplode(parts).alias("no", "part"))
+    keyed = segments.select("fp", "no", "part", F.explode(F.array(*map(F.lit, range(s)))).alias("at"))
+    key = F.shiftleft((F.col("no") * s + F.col("at")).cast("long"), s).bitwiseOR(F.col("part").bitwiseAND(F.expr("~shiftleft(1L, at)")))
+    dealt = keyed.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    most, bucket = settings.near_first, settings.bucket
+    found = dealt.mapInArrow(lambda batches: candidates(batches, most, bucket), "a long, b long").distinct()
+    sides = [nodes.select(*(F.col(w).alias(f"{side}_{w}") for w in words)) for side in "xy"]
+    differ = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words[1:]), F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))))
+    joined = found.join(sides[0], F.col("a") == F.col("x_fp")).join(sides[1], F.col("b") == F.col("y_fp"))
+    return joined.filter(differ <= settings.near_all).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id; links are texts of a similarity of 0.8 or more, about.
+
+    As ``near_duplicates``, but for fingerprints that differ in more bits: one-wildcard
+    variants of many segments of a longer fingerprint. Which pairs are found is a matter of
+    chance, at the rates that ``Similar`` states; equal fingerprints always are.
+    """
+    count, width = settings.words, settings.width
+    names = ["fp", *(f"w{k}" for k in range(1, count))]
+
+    def run(ids, texts):
+        rows = [fingerprint_words(t, width, count) for t in texts]
+        return [ids, *map(list, zip(*rows))] if rows else [[] for _ in range(count + 1)]
+
+    marked = staged(map_rows(docs.select(id_col, text_col), run, ", ".join(f"{n} long" for n in ["doc_id", *names])))
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.min(n).alias(n) for n in names[1:])))
+    return named(marked.select("doc_id", "fp"), nodes.select("fp", "first_id"), similar_links(nodes, settings))
 
 
-def one_of_each(docs: DataFrame, width: int = 3, most: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the least doc_id of their component, with all columns.
+def one_of_each(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the least doc_id of their component of similar texts, with all columns.
 
     One row stays for a repeated doc_id. Rows without doc_id all stay: no
     component can name them.
     """
-    first = near_duplicates(docs, width, most, id_col=id_col, text_col=text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    first = similar_texts(docs, settings, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     kept = docs.join(first, docs[id_col] == first["__first"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

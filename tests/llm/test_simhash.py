@@ -109,3 +109,66 @@ def test_query_against_brute_force(table):
         least.setdefault(root[p], i)
     found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(source).collect()}
     assert found == {i: (f"{p:016x}", least[root[p]]) for i, p in prints.items()}
+
+
+def shingles(text, width):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_similar_texts(spark, docs):
+    """Copies and texts of a similarity of 0.85 or more meet; those below 0.4 don't."""
+    random.seed(2)
+    rows, base = [], []
+    for g in range(12):
+        words = [f"{random.choice('abcdefgh')}{random.randrange(5000)}" for _ in range(150)]
+        base.append(words)
+        rows.append((10 * g, " ".join(words)))
+        rows.append((10 * g + 1, " ".join(words)))
+        for k in (2, 3):
+            other = list(words)
+            for i in random.sample(range(150), 2):
+                other[i] += "x"
+            rows.append((10 * g + k, " ".join(other)))
+        far = list(words)
+        for i in range(0, 150, 5):
+            far[i] += "y"
+        rows.append((10 * g + 4, " ".join(far)))
+    found = {r.doc_id: r.component_id for r in simhash.similar_texts(docs(*rows)).collect()}
+    texts = dict(rows)
+    for g in range(12):
+        assert found[10 * g + 1] == 10 * g and found[10 * g + 4] == 10 * g + 4
+        for k in (2, 3):
+            a, b = shingles(texts[10 * g], 5), shingles(texts[10 * g + k], 5)
+            assert len(a & b) / len(a | b) >= 0.85 and found[10 * g + k] == 10 * g
+    assert {r.doc_id for r in simhash.one_of_each(docs(*rows)).collect()} == {10 * g + k for g in range(12) for k in (0, 4)}
+
+
+def test_candidates_are_those_of_brute_force():
+    """Keys that go on across batches, small and large: the same components within each key."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    key = np.sort(np.r_[np.repeat([5, 9], [70, 40]), rng.integers(10, 60, 150)])
+    fp = rng.integers(0, 1 << 12, len(key)) | (rng.integers(0, 2, len(key)) << 40)
+    order = np.lexsort((fp, key))
+    key, fp = key[order].astype(np.int64), fp[order].astype(np.int64)
+    for size in (7, 30, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(fp[i : i + size])], names=["key", "fp"]) for i in range(0, len(key), size)]
+        links = [p for b in simhash.candidates(iter(batches), 3, 8) for p in zip(*(c.to_pylist() for c in b.columns))]
+        assert all((a ^ b).bit_count() <= 3 for a, b in links)
+        whole = {frozenset(p) for k in set(key.tolist()) for a in fp[key == k].tolist() for b in fp[key == k].tolist() if a < b and (a ^ b).bit_count() <= 3 for p in [(a, b)]}
+        assert {frozenset(p) for p in links if p[0] != p[1]} <= whole
+
+        def parts(edges):
+            label = {x: x for x in fp.tolist()}
+            for _ in range(200):
+                before = dict(label)
+                for a, b in edges:
+                    label[a] = label[b] = min(label[a], label[b])
+                if before == label:
+                    return label
+
+        assert parts(links) == parts([tuple(p) for p in whole])
+    assert list(simhash.candidates(iter([]), 3, 8)) == []
