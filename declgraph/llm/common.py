@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import checkpoint_folder, staged
+
+__all__ = ["checkpoint_folder", "keep_rows", "map_rows", "read_table", "small_batches", "staged"]
+
 #: Rows per Arrow batch; a batch of documents then stays in the megabytes.
 BATCH_ROWS = 512
 
@@ -23,29 +26,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, spark.checkpoint.dir.
-
-    Only a local master may fall back to a temporary folder of this machine;
-    elsewhere the setting has to exist, since executors don't share local disks.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and read it from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """Apply function(columns as Python lists) -> list of columns, batch by batch."""
     names = [part.strip().split()[0] for part in schema.split(",")]
