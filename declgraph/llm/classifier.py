@@ -45,7 +45,7 @@ CACHED = 300_000
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 8192  #: documents that the scorer learns from, about
+    sample: int = 4096  #: documents that the scorer learns from, about
     bits: int = 16  #: of the hashed features
     passes: int = 60
     threshold: float = 0.5
@@ -158,7 +158,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], settings: Setti
         return w
     slots = np.concatenate([r[0] for r in rows])
     values = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows])
     sizes = np.full(len(w), 1e-6)
     for _ in range(settings.passes):
@@ -216,6 +216,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     found = map_rows(drawn, sparse, "draw long, slots binary, shares binary, pattern int").collect()
     found.sort(key=lambda r: (r.draw, bytes(r.slots), bytes(r.shares)))
     rows = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.shares, np.float32), posterior[r.pattern]) for r in found]
+    del found
     return Model(posterior, fit_scorer(rows, settings), settings)
 
 
