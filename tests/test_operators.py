@@ -154,3 +154,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, events.tumbling(df, "1 hour", "kind").collect()))
     paths = spark.createDataFrame([("a/b.php",), ("a/etc/di.xml",)], "path string")
     assert events.coarsest(paths).first()[0] == 2 and events.coarsest(paths.limit(0)).first()[0] == 0
+
+
+def test_stream_of_deltas(spark, tmp_path):
+    """Each micro-batch hands on what differs from the state that the batches before have left."""
+    source, seen, state = str(tmp_path / "in"), [], {}
+    for k, rows in enumerate([[("a", "1"), ("b", "1")], [("a", "1"), ("b", "2"), ("c", "3")]]):
+        spark.createDataFrame(rows, "path string, content string").coalesce(1).write.mode("append").parquet(f"{source}/k={k}")
+
+    def current():
+        return spark.createDataFrame(sorted(state.items()), "path string, content string")
+
+    def apply(changes, number):
+        rows = sorted((r.path, r.content, r.action) for r in changes.collect())
+        seen.append(rows)
+        state.update({p: c for p, c, _ in rows})
+
+    for k in (0, 1):
+        stream = spark.readStream.schema("path string, content string").parquet(f"{source}/k={k}")
+        events.write_deltas(stream, current, apply, str(tmp_path / f"out{k}"), "path", "content").processAllAvailable()
+    for query in spark.streams.active:
+        query.stop()
+    assert seen == [[("a", "1", "write"), ("b", "1", "write")], [("b", "2", "write"), ("c", "3", "write")]]
