@@ -496,3 +496,64 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS
 SELECT min(ts) AS start, max(ts) AS last_ts, user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_counts(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events"), "2 hours", "user_id")
+
+
+# more scalar functions and set operations
+
+
+@query("SELECT c_custkey, concat_ws(' ', c_mktsegment, CASE WHEN c_acctbal > 0 THEN c_name END) AS name FROM customer")
+def full_name(spark, sf_dir):
+    name = scalars.full_name(F.col("c_mktsegment"), F.when(F.col("c_acctbal") > 0, F.col("c_name")))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"))
+
+
+@query("SELECT p_partkey, coalesce(try_cast(trim(split_part(p_brand, '#', 2)) AS BIGINT), -1) AS number FROM part")
+def parse_int_default(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.int_or(F.split_part("p_brand", F.lit("#"), F.lit(2)), -1).alias("number"))
+
+
+@query("""
+SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age
+FROM (SELECT event_id, date_sub('second', ts, TIMESTAMP '2024-02-01 00:00:00') AS s FROM events)""")
+def humanize_seconds(spark, sf_dir):
+    seconds = F.timestamp_diff("SECOND", F.col("ts"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.humanized(seconds).alias("age"))
+
+
+@query("SELECT p_partkey, lower(substr(p_type, 1, 1)) || substr(p_type, 2) AS name FROM part")
+def lower_first(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.lower_first(F.col("p_type")).alias("name"))
+
+
+@query("SELECT doc_id, length(regexp_replace(substr(text, 1, (n_chars // 2)::INT), '[^\\n]', '', 'g')) + 1 AS line FROM documents")
+def line_of_offset(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.line_of(F.col("text"), F.expr("CAST(n_chars div 2 AS int)")).cast("long").alias("line"))
+
+
+@query("SELECT DISTINCT p_name, CASE WHEN levenshtein(p_name, 'old ring') <= 3 THEN levenshtein(p_name, 'old ring')::INT END AS distance FROM part")
+def capped_distance(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select("p_name", scalars.distance_within(F.col("p_name"), F.lit("old ring"), 3).alias("distance"))
+
+
+@query("SELECT n_nationkey, coalesce(CASE WHEN n_nationkey > 10 THEN n_name END, 'nation/' || n_nationkey) AS label FROM nation")
+def default_label(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", scalars.named_or(F.when(F.col("n_nationkey") > 10, F.col("n_name")), "nation", F.col("n_nationkey")).alias("label"))
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0 UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_union(spark, sf_dir):
+    poor = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("key"))
+    return poor.union(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_custkey")).distinct()
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_difference(spark, sf_dir):
+    poor = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("key"))
+    return joins.anti(poor, table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), {"key": "o_custkey"}).distinct()
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE c_acctbal < 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_membership(spark, sf_dir):
+    poor = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("key"))
+    return poor.join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")).distinct(), "key", "left_semi").distinct()

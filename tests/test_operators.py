@@ -176,3 +176,21 @@ def test_stream_of_deltas(spark, tmp_path):
     for query in spark.streams.active:
         query.stop()
     assert seen == [[("a", "1", "write"), ("b", "1", "write")], [("b", "2", "write"), ("c", "3", "write")]]
+
+
+def test_more_scalars(spark):
+    r = spark.range(1).select(
+        scalars.lower_first(F.lit("ABc")).alias("a"), scalars.int_or(F.lit(" 12 ")).alias("b"), scalars.int_or(F.lit("x"), 7).alias("c"),
+        scalars.humanized(F.lit(59)).alias("d"), scalars.humanized(F.lit(7300)).alias("e"), scalars.humanized(F.lit(200000)).alias("f"),
+        scalars.without_suffix(F.lit("A\\BFactory"), "\\Proxy", "Factory").alias("g"), scalars.without_suffix(F.lit("A"), "B").alias("h"),
+        scalars.class_path(F.lit("\\A\\B_C")).alias("i"), scalars.line_of(F.lit("a\nb\nc"), F.lit(4)).alias("j"),
+        scalars.method_parts(F.lit("A::b")).alias("k"), scalars.method_parts(F.lit("A")).alias("l"),
+        scalars.normalized_path(F.lit("/a/./b//../c")).alias("m"), scalars.normalized_path(F.lit("../../a/../b")).alias("n"),
+        scalars.environment_path(F.lit("CONFIG__DEFAULT__A__B")).alias("o"), scalars.environment_path(F.lit("CONFIG__STORES__EN__A__B")).alias("p"),
+        scalars.distance_within(F.lit("abcd"), F.lit("abxy"), 2).alias("q"), scalars.distance_within(F.lit("abcd"), F.lit("wxyz"), 2).alias("r"),
+        scalars.named_or(F.lit(None).cast("string"), "store", F.lit(3)).alias("s"),
+    ).first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("aBc", 12, 7, "59s", "2h", "2d")
+    assert (r.g, r.h, r.i, r.j, tuple(r.k), tuple(r.l)) == ("A\\B", "A", "A/B/C.php", 3, ("A", "b"), ("A", None))
+    assert (r.m, r.n, tuple(r.o), tuple(r.p)) == ("/a/c", "../../b", ("default", "a/b"), ("stores/en", "a/b"))
+    assert (r.q, r.r, r.s) == (2, None, "store/3")
