@@ -165,3 +165,19 @@ def test_php_literals():
 def test_lines_of_nodes():
     nodes, error = nodes_of("<a>\n<b k='1'>t</b>\n</a>")
     assert [(n[1], n[2], n[3], n[4]) for n in nodes] == [(1, "a", {}, ""), (2, "b", {"k": "1"}, "t")] and error is None
+
+
+def test_relations(shop, spark):
+    from declgraph.plans import relations
+
+    packages = spark.createDataFrame([("T_A", "T_B")], "module string, requires string")
+    found = {(r.module, r.other, r.direction): (r.sequence, r.package) for r in relations.dependencies(shop, packages).collect()}
+    assert found["T_A", "T_B", "needs"] == (True, True) and found["T_A", "T_B", "needed by"] == (True, False) and len(found) == 4
+    assert [r.id for r in relations.ancestors(shop.acl, "id", "parent", "b1").collect()] == ["root", "b"]
+    plugged = {r["class"] for r in relations.interception(shop).filter("intercepted").collect()}
+    assert {"T\\A\\Model\\M", "T\\A\\Model\\Base", "T\\A\\Api\\I"} <= plugged and "T\\A\\Plugin\\Q" not in plugged
+    assert relations.unregistered_plugins(shop).count() == 0
+    facts = {(r.what, r.detail) for r in relations.whatis(shop, "T\\A\\Model\\M").collect()}
+    assert {("declared as", "class"), ("is a", "T\\A\\Api\\I"), ("is a", "Other\\K"), ("used as", "virtual type of virt"), ("used as", "argument T\\A\\Pool")} <= facts
+    themes = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", None), ("x", "a")], "theme string, parent string")
+    assert [r.theme for r in relations.theme_chain(themes, "c").collect()] == ["c", "b", "a"]
