@@ -39,6 +39,8 @@ from .common import map_rows, staged
 #: Members of a key that are compared in pairs.
 BUCKET = 24
 CHUNK = 1 << 16
+#: Documents of one fingerprint beyond which they are dealt out by a salt, and the number of salts.
+COPIES, SALTS = 500, 64
 MASK = (1 << 64) - 1
 
 
@@ -189,19 +191,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of documents (doc_id, fp) by the edges between fingerprints."""
+    """doc_id, fingerprint, component_id of documents (doc_id, fp) by the edges between fingerprints.
+
+    nodes: fp, first_id, copies. Documents are joined on their fingerprint,
+    but for those with more than COPIES copies, which are joined by a salt as well.
+    """
     stars = components(edges)
     linked = stars.join(nodes, stars["node"] == nodes["fp"]).select("node", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    names = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return marked.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = staged(nodes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("least_id", "first_id").alias("component_id")))
+    # fingerprints of many copies are repeated for each salt, so that their documents are dealt out
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    many = names.filter(F.col("copies") > COPIES).select(F.col("fp").alias("__fp"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"), "component_id")
+    few = names.filter(F.col("copies") <= COPIES).select("fp", "component_id")
+    salted = marked.withColumn("salt", salt).join(many, (F.col("fp") == F.col("__fp")) & (F.col("salt") == F.col("__salt")), "left")
+    copied = salted.filter("__fp IS NOT NULL").select("doc_id", "fp", "component_id")
+    single = salted.filter("__fp IS NULL").select("doc_id", "fp").join(few, "fp").select("doc_id", "fp", "component_id")
+    return copied.unionByName(single).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links of at most ``most`` bits)."""
     marked = staged(fingerprints(docs, width, id_col, text_col))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     return named(marked, nodes, links(nodes.select("fp"), most, bucket))
 
 
@@ -332,8 +345,8 @@ def similar_texts(docs: DataFrame, settings: Similar = Similar(), id_col: str =
         return [ids, *map(list, zip(*rows))] if rows else [[] for _ in range(count + 1)]
 
     marked = staged(map_rows(docs.select(id_col, text_col), run, ", ".join(f"{n} long" for n in ["doc_id", *names])))
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *(F.min(n).alias(n) for n in names[1:])))
-    return named(marked.select("doc_id", "fp"), nodes.select("fp", "first_id"), similar_links(nodes, settings))
+    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *(F.min(n).alias(n) for n in names[1:])))
+    return named(marked.select("doc_id", "fp"), nodes.select("fp", "first_id", "copies"), similar_links(nodes, settings))
 
 
 def one_of_each(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

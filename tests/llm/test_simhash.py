@@ -111,6 +111,14 @@ def test_query_against_brute_force(table):
     assert found == {i: (f"{p:016x}", least[root[p]]) for i, p in prints.items()}
 
 
+def test_many_copies(spark, docs, monkeypatch):
+    """Salted or not, the same components."""
+    rows = [(i, "the same text again") for i in range(40)] + [(100 + i, f"text number {i} of its own") for i in range(5)] + [(None, "the same text again")]
+    whole = sorted(map(str, simhash.near_duplicates(docs(*rows)).collect()))
+    monkeypatch.setattr(simhash, "COPIES", 3)
+    assert sorted(map(str, simhash.near_duplicates(docs(*rows)).collect())) == whole and len(whole) == 46
+
+
 def shingles(text, width):
     words = text.lower().split()
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
