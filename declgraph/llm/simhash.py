@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged
+from .common import map_rows, small_batches, staged
 
 #: Members of a key that are compared in pairs.
 BUCKET = 24
@@ -193,7 +193,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of documents (doc_id, fp) by the edges between fingerprints.
 
-    nodes: fp, first_id, copies. Documents are joined on their fingerprint,
+    nodes: fp, first_id, copies. If documents have a column shown, it is given as the fingerprint. Documents are joined on their fingerprint,
     but for those with more than COPIES copies, which are joined by a salt as well.
     """
     stars = components(edges)
@@ -206,9 +206,10 @@ def named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     many = names.filter(F.col("copies") > COPIES).select(F.col("fp").alias("__fp"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"), "component_id")
     few = names.filter(F.col("copies") <= COPIES).select("fp", "component_id")
     salted = marked.withColumn("salt", salt).join(many, (F.col("fp") == F.col("__fp")) & (F.col("salt") == F.col("__salt")), "left")
-    copied = salted.filter("__fp IS NOT NULL").select("doc_id", "fp", "component_id")
-    single = salted.filter("__fp IS NULL").select("doc_id", "fp").join(few, "fp").select("doc_id", "fp", "component_id")
-    return copied.unionByName(single).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    shown = "shown" if "shown" in marked.columns else "fp"
+    copied = salted.filter("__fp IS NOT NULL").select("doc_id", F.col(shown).alias("print"), "component_id")
+    single = salted.filter("__fp IS NULL").select("doc_id", "fp", F.col(shown).alias("print")).join(few, "fp").select("doc_id", "print", "component_id")
+    return copied.unionByName(single).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,124 +230,202 @@ class Similar:
     of their bits, 0.15 at 0.8. No few segments can then be sure to
     hold one that differs by a bit at most, so there are more segments than
     that, of which one does so in most cases: 94 % at 0.8, 99 % at 0.87.
+    The bit bounds lie more than three deviations above what a pair at 0.8 differs in;
+    they only spare work, as the shingles decide.
     ``segment`` has to grow with the logarithm of the corpus: pairs by chance
     share a key at a rate of about (segment + 1) / 2^segment for each segment.
     """
 
     width: int = 5
-    words: int = 5  #: of 64 bits
+    words: int = 5  #: of 64 bits, cut into segments
     segment: int = 20  #: bits
-    near_first: int = 14  #: bits of the first 64
-    near_all: int = 54  #: bits of all
+    near_first: int = 14  #: bits of the 64 of a further word, which has no segment
+    near_all: int = 54  #: bits of all words with segments
     bucket: int = 8
 
     @property
     def per_word(self) -> int:
         return 64 // self.segment
 
+    @property
+    def names(self) -> list[str]:
+        return [f"w{k}" for k in range(self.words)]
+
 
-def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links that keep the components of fingerprints within ``most`` bits, one fewer than members.
 
-    Each component is walked from a member on; who has been reached isn't
-    compared any more, so a tight group takes about one comparison a member.
+    Positions of both ends, and of the first member of the tree. Each component is walked
+    from a member on; who has been reached isn't compared any more, so a tight group takes
+    about one comparison a member.
     """
-    parents, children = [], []
-    rest = fp
+    parents, children, trees = [], [], []
+    rest = np.arange(len(fp))
     while len(rest) > 1:
-        front, rest = [rest[:1]], rest[1:]
+        root, front, rest = rest[0], [rest[:1]], rest[1:]
         while front and len(rest):
             block = front.pop()
-            step = max(1, (1 << 22) // len(rest))
+            step = max(1, (1 << 20) // len(rest))
             if len(block) > step:
                 front.append(block[step:])
                 block = block[:step]
-            near = np.bitwise_count((block[:, None] ^ rest[None, :]).view(np.uint64)) <= most
+            near = bits(fp[block][:, None] ^ fp[rest][None, :]) <= most
             hit = near.any(axis=0)
             if hit.any():
                 parents.append(block[near.argmax(axis=0)[hit]])
                 children.append(rest[hit])
+                trees.append(np.full(int(hit.sum()), root))
                 front.append(rest[hit])
                 rest = rest[~hit]
     empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *parents]), np.concatenate([empty, *children])
+    return np.concatenate([empty, *parents]), np.concatenate([empty, *children]), np.concatenate([empty, *trees])
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups of rows sorted by their first ``keys`` columns."""
+    waiting: list[list[np.ndarray]] = []  # of the last group, as long as it goes on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:keys]])) + 1
+        if waiting and any(waiting[-1][k][-1] != now[k][0] for k in range(keys)):
+            new = np.r_[0, new]
+        if not len(new):
+            waiting.append(now)
+            continue
+        last = int(new[-1])
+        whole = [np.concatenate(c) for c in zip(*waiting, [c[:last] for c in now])]
+        if len(whole[0]):
+            yield whole
+        waiting = [[c[last:] for c in now]]
+    if waiting:
+        yield [np.concatenate(c) for c in zip(*waiting)]
 
 
 def candidates(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) sorted by key -> links (a, b) of fingerprints of one key within ``most`` bits.
 
-    All pairs of a key of up to ``bucket`` members, a forest of a larger one. Of a key
-    that goes on in the next batch, eight bytes a member are kept.
+    All pairs of a key of up to ``bucket`` members, a forest of a larger one. Rows (key, node, fp) ->
+    (a, b, key, tree) of nodes; key and tree, the forest's tree, are null for pairs of a small key.
     """
-    key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
-    waiting: list[np.ndarray] = []  # of the last key, as long as it goes on
-
-    def found(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    for key, node, *fp in groups(batches, 1):
+        fp = fp[0] if (named_nodes := bool(fp)) else node
+        opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[opens, len(key)])
-        out = [forest(fp[a : a + n], most) for a, n in zip(opens[sizes > bucket], sizes[sizes > bucket])]
-        small = np.repeat(sizes <= bucket, sizes)
-        key, fp = key[small], fp[small]
+        a, b, tree = [], [], []
+        for at, n in zip(opens[sizes > bucket], sizes[sizes > bucket]):
+            for out, found in zip((a, b, tree), forest(fp[at : at + n], most)):
+                out.append(at + found)
+        large = sum(map(len, a))
+        small = np.flatnonzero(np.repeat(sizes <= bucket, sizes))
         for d in range(1, bucket):
-            same = np.flatnonzero(key[d:] == key[:-d])
-            if not len(same):
+            x, y = small[:-d], small[d:]
+            same = key[x] == key[y]
+            if not same.any():
                 break
-            a, b = fp[same], fp[same + d]
-            good = bits(a ^ b) <= most
-            out.append((a[good], b[good]))
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            x, y = x[same], y[same]
+            good = bits(fp[x] ^ fp[y]) <= most
+            a.append(x[good])
+            b.append(y[good])
+        a, b, tree = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b, tree))
+        columns = [pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))]
+        if named_nodes:
+            nulls = pa.nulls(len(a) - large, pa.int64())
+            columns += [pa.concat_arrays([pa.array(key[tree]), nulls]), pa.concat_arrays([pa.array(node[tree]), nulls])]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "tree"][: len(columns)])
+
+
+def hashes_of(text: str | None, width: int) -> np.ndarray:
+    """The hashes of the text's different shingles, sorted."""
+    import xxhash
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if len(key) and now[-1] == key[0] and now[0] == key[0]:
-            waiting.append(prints)
-            continue
-        key, fp = np.r_[np.full(sum(map(len, waiting)), key[0] if len(key) else 0), now], np.concatenate([*waiting, prints])
-        last = int(np.searchsorted(key, key[-1]))
-        yield found(key[:last], fp[:last])
-        key, waiting = key[last:][:1], [fp[last:]]
-    if waiting:
-        fp = np.concatenate(waiting)
-        yield found(np.full(len(fp), key[0]), fp)
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    count = max(1, len(words) - width + 1)
+    shingles = (b" ".join(words[i : i + width]) for i in range(count))
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, count))
 
 
-def similar_links(nodes: DataFrame, settings: Similar) -> DataFrame:
-    """Links (a, b) between the fp of nodes (fp, w1, w2, ...)."""
+def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, text) -> (node, hashes)."""
+    for batch in batches:
+        sets = [hashes_of(t.as_py(), width).view(np.int64) for t in batch.column(1)]
+        ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "hashes"])
+
+
+def own_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of docs, with all columns and those of keys, by first_id and first_text, the hash of the text."""
+    text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(keys, docs[id_col].eqNullSafe(keys["first_id"]) & (text == keys["first_text"]))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Similar, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingles have a Jaccard similarity of 0.8 or more, exactly."""
+    sides = [nodes.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_n"), *(F.col(w).alias(f"{n}_{w}") for w in settings.names)) for n in "ab"]
+    differ = sum(F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in settings.names)
+    sized = 5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")
+    near = staged(pairs.join(sides[0], "a").join(sides[1], "b").filter(sized & (differ <= settings.near_all)).select("a", "b", "a_n", "b_n"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first_id", "first_text")
+    small_batches(docs.sparkSession)
+    texts = own_rows(docs.select(id_col, text_col), wanted, id_col, text_col).select("node", text_col)
+    width = settings.width
+    sets = texts.mapInArrow(lambda batches: shingle_sets(batches, width), "node long, hashes array<long>").dropDuplicates(["node"])
+    sets = staged(sets)
+    joined = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return staged(joined.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, settings: Similar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between nodes (node, first_id, first_text, shingles, probe, w0, w1, ...)."""
     s, per = settings.segment, settings.per_word
-    words = ["fp", *(f"w{k}" for k in range(1, settings.words))]
-    parts = F.array(*(F.shiftrightunsigned(w, s * k).bitwiseAND((1 << s) - 1) for w in words for k in range(per)))
-    segments = nodes.select("fp", F.posexplode(parts).alias("no", "part"))
-    keyed = segments.select("fp", "no", "part", F.explode(F.array(*map(F.lit, range(s)))).alias("at"))
+    parts = F.array(*(F.shiftrightunsigned(w, s * k).bitwiseAND((1 << s) - 1) for w in settings.names for k in range(per)))
+    segments = nodes.select("node", "probe", F.posexplode(parts).alias("no", "part"))
+    keyed = segments.select("node", "probe", "no", "part", F.explode(F.array(*map(F.lit, range(s)))).alias("at"))
     key = F.shiftleft((F.col("no") * s + F.col("at")).cast("long"), s).bitwiseOR(F.col("part").bitwiseAND(F.expr("~shiftleft(1L, at)")))
-    dealt = keyed.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    dealt = keyed.select(key.alias("key"), "node", "probe").repartition("key").sortWithinPartitions("key", "node")
     most, bucket = settings.near_first, settings.bucket
-    found = dealt.mapInArrow(lambda batches: candidates(batches, most, bucket), "a long, b long").distinct()
-    sides = [nodes.select(*(F.col(w).alias(f"{side}_{w}") for w in words)) for side in "xy"]
-    differ = sum((F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words[1:]), F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))))
-    joined = found.join(sides[0], F.col("a") == F.col("x_fp")).join(sides[1], F.col("b") == F.col("y_fp"))
-    return joined.filter(differ <= settings.near_all).select("a", "b")
+    found = staged(dealt.mapInArrow(lambda batches: candidates(batches, most, bucket), "a long, b long, key long, tree long"))
+    return verified(found.select("a", "b").distinct(), nodes, docs, settings, id_col, text_col)
 
 
-def similar_texts(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id; links are texts of a similarity of 0.8 or more, about.
+def similar_nodes(docs: DataFrame, settings: Similar, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, node, shingles, fp, probe, w0, ...), and nodes: a set of shingles each."""
+    import xxhash
 
-    As ``near_duplicates``, but for fingerprints that differ in more bits: one-wildcard
-    variants of many segments of a longer fingerprint. Which pairs are found is a matter of
-    chance, at the rates that ``Similar`` states; equal fingerprints always are.
-    """
     count, width = settings.words, settings.width
-    names = ["fp", *(f"w{k}" for k in range(1, count))]
+    names = ["probe", *settings.names]
+
+    def run(ids, hashes, texts):
+        rows = []
+        for t in texts:
+            some = hashes_of(t, width)
+            node = xxhash.xxh64_intdigest(some.tobytes())
+            rows.append([node - (1 << 64) if node >> 63 else node, len(some), *fingerprint_words(t, width, count + 1)])
+        columns = list(map(list, zip(*rows))) if rows else [[] for _ in range(count + 3)]
+        return [ids, hashes, *columns[:2], columns[-1], *columns[2:-1]]
+
+    own = docs.select(id_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col)
+    marked = staged(map_rows(own, run, ", ".join(f"{n} long" for n in ["doc_id", "text_hash", "node", "shingles", *names])))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    nodes = marked.groupBy("node").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"), *(F.min(n).alias(n) for n in ["shingles", *names]))
+    return marked, staged(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text"), "copies", "shingles", *names))
 
-    def run(ids, texts):
-        rows = [fingerprint_words(t, width, count) for t in texts]
-        return [ids, *map(list, zip(*rows))] if rows else [[] for _ in range(count + 1)]
 
-    marked = staged(map_rows(docs.select(id_col, text_col), run, ", ".join(f"{n} long" for n in ["doc_id", *names])))
-    nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), *(F.min(n).alias(n) for n in names[1:])))
-    return named(marked.select("doc_id", "fp"), nodes.select("fp", "first_id", "copies"), similar_links(nodes, settings))
+def similar_texts(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id; links are texts whose shingles have a similarity of 0.8 or more.
+
+    As ``near_duplicates``, but for fingerprints that differ in more bits: one-wildcard
+    variants of many segments of a longer fingerprint. Which pairs are looked at is a matter of
+    chance, at the rates that ``Similar`` states; each is verified on its shingles. Equal
+    sets of shingles are one node.
+    """
+    marked, nodes = similar_nodes(docs, settings, id_col, text_col)
+    links = similar_links(nodes, docs, settings, id_col, text_col)
+    return named(marked.select("doc_id", F.col("node").alias("fp"), F.col("w0").alias("shown")), nodes.select(F.col("node").alias("fp"), "first_id", "copies"), links)
 
 
 def one_of_each(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,3 +180,24 @@ def test_candidates_are_those_of_brute_force():
 
         assert parts(links) == parts([tuple(p) for p in whole])
     assert list(simhash.candidates(iter([]), 3, 8)) == []
+
+
+def changed_copies(groups, length, changes):
+    """(id, text) of texts and of copies with that many words replaced, each in five shingles of its own; and their similarity."""
+    rows = []
+    for g in range(groups):
+        words = [f"{random.choice('abcdefgh')}{random.randrange(50000)}" for _ in range(length)]
+        other = list(words)
+        for i in random.sample(range(1, length // 5 - 1), changes):
+            other[5 * i] += "x"
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(other))]
+    a, b = shingles(rows[0][1], 5), shingles(rows[1][1], 5)
+    return rows, len(a & b) / len(a | b)
+
+
+def test_links_are_verified_on_the_shingles(spark, docs):
+    """Texts of a similarity of less than 0.8 all stay, near as their fingerprints may be."""
+    random.seed(5)
+    rows, similarity = changed_copies(60, 150, 4)
+    assert 0.75 < similarity < 0.8
+    assert simhash.one_of_each(docs(*rows)).count() == 120
