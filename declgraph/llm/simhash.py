@@ -336,6 +336,26 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Ite
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "tree"][: len(columns)])
 
 
+def across(batches: Iterator[pa.RecordBatch], settings: Similar) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tree, node, root, probe, w0, ...) sorted by key and tree -> all links (a, b) within the
+    bit bounds between nodes of one tree whose roots differ."""
+    for key, tree, node, root, probe, *words in groups(batches, 2):
+        opens = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])])
+        for low, high in zip(opens, np.r_[opens[1:], len(key)]):
+            if (root[low:high] == root[low]).all():
+                continue
+            step = max(1, (1 << 20) // int(high - low))
+            for at in range(low, high, step):
+                x, y = slice(at, min(at + step, high)), slice(at, high)
+                near = (root[x, None] != root[None, y]) & (bits(probe[x, None] ^ probe[None, y]) <= settings.near_first)
+                a, b = np.nonzero(near)
+                a, b = a[b > a] + at, b[b > a] + at
+                good = sum(bits(w[a] ^ w[b]).astype(np.int64) for w in words) <= settings.near_all
+                a, b = node[a[good]], node[b[good]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def hashes_of(text: str | None, width: int) -> np.ndarray:
     """The hashes of the text's different shingles, sorted."""
     import xxhash
@@ -389,7 +409,19 @@ def similar_links(nodes: DataFrame, docs: DataFrame, settings: Similar, id_col:
     dealt = keyed.select(key.alias("key"), "node", "probe").repartition("key").sortWithinPartitions("key", "node")
     most, bucket = settings.near_first, settings.bucket
     found = staged(dealt.mapInArrow(lambda batches: candidates(batches, most, bucket), "a long, b long, key long, tree long"))
-    return verified(found.select("a", "b").distinct(), nodes, docs, settings, id_col, text_col)
+    tried = staged(found.select("a", "b").distinct())
+    good = verified(tried, nodes, docs, settings, id_col, text_col)
+    # trees with a link that isn't verified: their members are compared in pairs
+    of_trees = found.filter("key IS NOT NULL")
+    broken = staged(of_trees.join(good, ["a", "b"], "left_anti").select("key", "tree").distinct())
+    if broken.isEmpty():
+        return good
+    members = of_trees.join(broken, ["key", "tree"]).select("key", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = components(good)
+    rooted = members.join(nodes.select("node", "probe", *settings.names), "node").join(roots, "node", "left")
+    dealt = rooted.select("key", "tree", "node", F.coalesce("root", "node").alias("root"), "probe", *settings.names).repartition("key", "tree").sortWithinPartitions("key", "tree", "node")
+    others = dealt.mapInArrow(lambda batches: across(batches, settings), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    return good.unionByName(verified(others, nodes, docs, settings, id_col, text_col))
 
 
 def similar_nodes(docs: DataFrame, settings: Similar, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

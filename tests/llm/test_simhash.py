@@ -201,3 +201,20 @@ def test_links_are_verified_on_the_shingles(spark, docs):
     rows, similarity = changed_copies(60, 150, 4)
     assert 0.75 < similarity < 0.8
     assert simhash.one_of_each(docs(*rows)).count() == 120
+
+
+@pytest.mark.parametrize("bucket", [8, 2])
+def test_components_of_full_keys_are_those_of_all_pairs(spark, docs, bucket):
+    """A tree that falls apart when its links are verified doesn't lose pairs that aren't in it."""
+    random.seed(6)
+    rows = []
+    for g in range(4):
+        words = [f"{random.choice('abcdefgh')}{random.randrange(50000)}" for _ in range(150)]
+        for k in range(40):
+            other = list(words)
+            for i in random.sample(range(1, 29), random.choice((1, 2, 2, 3))):
+                other[5 * i] += f"x{k % 3}"
+            rows.append((100 * g + k, " ".join(other)))
+    found = {n: {r.doc_id: r.component_id for r in simhash.similar_texts(docs(*rows), simhash.Similar(bucket=n)).collect()} for n in (bucket, 1000)}
+    assert found[bucket] == found[1000]
+    assert 4 < len(set(found[1000].values())) < 120
