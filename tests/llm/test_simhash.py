@@ -218,3 +218,13 @@ def test_components_of_full_keys_are_those_of_all_pairs(spark, docs, bucket):
     found = {n: {r.doc_id: r.component_id for r in simhash.similar_texts(docs(*rows), simhash.Similar(bucket=n)).collect()} for n in (bucket, 1000)}
     assert found[bucket] == found[1000]
     assert 4 < len(set(found[1000].values())) < 120
+
+
+def test_similarity_of_little_more_than_the_least(spark, docs):
+    """Of pairs of a similarity of 0.80 to 0.85 nearly all are found."""
+    random.seed(7)
+    for length, changes in ((145, 3), (198, 4), (250, 4)):
+        rows, similarity = changed_copies(200, length, changes)
+        assert 0.8 <= similarity < 0.85
+        found = simhash.similar_texts(docs(*rows)).filter("component_id <> doc_id").count()
+        assert 192 <= found <= 200
