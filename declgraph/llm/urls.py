@@ -8,9 +8,10 @@ less confidence covers. They match the other urls through an inverted index
 from a rule's rarest token to its combination; a url that some rule fits is
 blocked.
 
-The tokens of a url are few and a rule's support is a share of the labelled
-urls, so the number of rules has a bound that doesn't grow with the table:
-at most 2^tokens / min_support. They are one literal of the plan.
+All tokens of a url count, wherever they stand. A rule's support is a share
+of the labelled urls, so rare tokens fall out, and the number of rules has a
+bound that doesn't grow with the table: at most 2^tokens / min_support, of
+the tokens that are neither certain nor alike. They are one literal of the plan.
 
 Defined cases: a null url, or one without ://, has an empty host and path, no
 rule, and is judged by the tokens it has (none: allow); repeated rows are
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,37 +58,76 @@ def listed(rules) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens; numbers are one token, so that ids don't count."""
+    """Distinct tokens; numbers of a path are one token, so that ids don't count.
+
+    Scheme, host, its first label, all labels and suffixes, the first and the second
+    path segment, all segments at any place, extension, and all query keys.
+    """
     number = lambda c: F.regexp_replace(c, r"[0-9]+", "0")
-    labels = F.split(host, r"\.")
+    own = F.coalesce(url, F.lit(""))
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     parts = F.filter(F.split(number(path), "/"), lambda x: x != "")
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
+    query = F.regexp_extract(own, r"\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
+    suffixes = F.transform(labels, lambda x, k: F.array_join(F.slice(labels, k + 1, F.size(labels)), "."))
     tagged = lambda tag, c: F.transform(c, lambda x: F.concat(F.lit(tag), x))
+    one = lambda tag, c: tagged(tag, F.filter(F.array(c), lambda x: x != ""))
     every = F.concat(
-        F.filter(F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("tld:"), F.element_at(labels, -1)), F.concat(F.lit("sub:"), labels[0])), lambda x: ~x.isin("host:", "tld:", "sub:")),
-        F.filter(F.array(F.concat(F.lit("site:"), F.array_join(F.slice(F.reverse(labels), 1, 2), "."))), lambda x: x != "site:"),
+        one("scheme:", F.lower(F.regexp_extract(own, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))),
+        one("host:", host),
+        tagged("sub:", F.slice(labels, 1, 1)),
+        tagged("label:", labels),
+        tagged("suffix:", suffixes),
         tagged("seg:", F.slice(parts, 1, 1)),
         tagged("leaf:", F.slice(parts, 2, 1)),
-        tagged("key:", F.slice(F.array_sort(F.array_distinct(keys)), 1, 8)),
+        tagged("part:", parts),
+        one("ext:", F.lower(F.regexp_extract(path, r"[^/]\.([A-Za-z0-9]+)$", 1))),
+        tagged("key:", keys),
     )
     return F.array_distinct(every)
 
 
+def telling(labelled: DataFrame, settings: Settings) -> tuple[list[tuple[list[str], float, float]], dict[str, list[str]]]:
+    """Rules of one token with confidence 1, and the classes of other tokens that can be in a rule.
+
+    A token that too few blocked urls have is in no rule; one whose urls are all blocked covers all
+    its combinations. Tokens of the same urls are one class, named by its least token:
+    a combination of two of them is covered by that of one.
+    """
+    blocked = F.count_if(F.col("verdict") == "block")
+    rows = labelled.count()
+    row = labelled.select(F.xxhash64(F.array_sort("tokens")).alias("row"), "verdict", F.explode("tokens").alias("token"))
+    same = [F.expr(f"sum(cast(xxhash64(row, {k}) % 1000000007 as decimal(30, 0)))").alias(f"same{k}") for k in (1, 2)]
+    counted = row.groupBy("token").agg(F.count(F.lit(1)).alias("n"), blocked.alias("blocked"), *same).filter(F.col("blocked") >= settings.min_support * rows)
+    certain, classes = [], defaultdict(list)
+    for r in counted.collect():
+        if r.n == r.blocked:
+            certain.append(([r.token], 1.0, r.blocked / rows))
+        else:
+            classes[r.n, r.blocked, r.same1, r.same2].append(r.token)
+    return certain, {min(c): sorted(c) for c in classes.values()}
+
+
 def mine(labelled: DataFrame, settings: Settings) -> list[tuple[list[str], float, float]]:
     """(combination, confidence, support) of the rules for a block. labelled: tokens, verdict."""
     from pyspark.ml.fpm import FPGrowth
 
+    labelled = labelled.filter(F.size("tokens") > 0)
     if labelled.isEmpty():
         return []
-    marked = labelled.select(F.when(F.col("verdict") == "block", F.array_append("tokens", F.lit("=block"))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
+    certain, classes = telling(labelled, settings)
+    names = F.array(*map(F.lit, classes)) if classes else F.array().cast("array<string>")
+    shown = F.array_intersect("tokens", names)
+    marked = labelled.select(F.when(F.col("verdict") == "block", F.array_append(shown, F.lit("=block"))).otherwise(shown).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=settings.min_support, minConfidence=settings.min_confidence).fit(marked)
-    found = model.associationRules.filter(F.col("consequent")[0] == "=block").select("antecedent", "confidence", "support").collect()
+    found = model.associationRules.filter(F.col("consequent")[0] == "=block").select("antecedent", "confidence", "support").collect() if classes else []
+    order = lambda r: (len(r[0]), -r[1], r[0])
     kept: list[tuple[list[str], float, float]] = []
-    for items, confidence, support in sorted(((sorted(r[0]), r[1], r[2]) for r in found), key=lambda r: (len(r[0]), -r[1], r[0])):
+    for items, confidence, support in sorted(((sorted(r[0]), r[1], r[2]) for r in found), key=order):
         if not any(set(k[0]) <= set(items) and k[1] >= confidence for k in kept):
             kept.append((items, confidence, support))
-    return kept
+    alike = [(sorted(items), c, s) for names, c, s in kept for items in product(*(classes[x] for x in names))]
+    return sorted([r for r in certain if r[1] >= settings.min_confidence] + alike, key=order)
 
 
 def matches(rules: list[tuple[list[str], float, float]]) -> Column:

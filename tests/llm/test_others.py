@@ -46,6 +46,18 @@ def test_lists(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_tokens_at_any_place(spark):
+    """A telling segment, label, extension, scheme or key is found wherever it stands."""
+    keys = "&".join(f"a{k}=1" for k in range(9))
+    kinds = [("http", "ads.b", "x", "txt", keys), ("http", "b.c", "casino", "txt", keys), ("http", "b.c", "x", "exe", keys), ("ftp", "b.c", "x", "txt", keys), ("http", "b.c", "x", "txt", keys + "&z=1")]
+    bad = [f"{s}://q.{h}.y.com/de/u/{p}/{i}.{e}?{k}" for i in range(40) for s, h, p, e, k in kinds]
+    good = [f"http://q.b.c.y.com/fr/u/x/{i}.txt?{keys}" for i in range(200)]
+    new = [f"{s}://q.{h}.z.net/v/w/{p}/{7}.{e}?{k}" for s, h, p, e, k in kinds] + [f"http://q.b.c.z.net/v/w/x/7.txt?{keys}"]
+    pages = spark.createDataFrame(list(enumerate(bad + good + new)), "page_id long, url string")
+    found = {r.page_id: (r.verdict, r.by) for r in urls.judge(pages).collect()}
+    assert [found[400 + i] for i in range(6)] == [("block", "mined")] * 5 + [("allow", "mined")]
+
+
 def test_mined_rules_are_those_of_brute_force(spark):
     kinds = [("a", "p", "q"), ("a", "p"), ("b", "p"), ("a", "r"), ("b", "q", "r"), ("c",)]
     rows = [(list(kinds[i % 6]), "block" if i % 6 in (0, 1) or i == 2 else "allow") for i in range(120)]
