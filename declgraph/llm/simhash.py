@@ -464,11 +464,17 @@ def similar_texts(docs: DataFrame, settings: Similar = Similar(), id_col: str =
 
 
 def one_of_each(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the least doc_id of their component of similar texts, with all columns.
+    """One document of each component of similar texts, the one with the least doc_id, with all columns.
 
-    One row stays for a repeated doc_id. Rows without doc_id all stay: no
-    component can name them.
+    A repeated doc_id stays as often as its texts are first of different components; of
+    rows of the same doc_id and text one stays. Rows without doc_id all stay.
     """
-    first = similar_texts(docs, settings, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, docs[id_col] == first["__first"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    marked, nodes = similar_nodes(docs, settings, id_col, text_col)
+    roots = components(similar_links(nodes, docs, settings, id_col, text_col))
+    first = F.min(F.struct("first_id", "first_text")).alias("first")
+    grouped = nodes.filter("first_id IS NOT NULL").join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(first).select("first.*")
+    rows = marked.groupBy(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_text")).agg(F.count(F.lit(1)).alias("copies"))
+    chosen = staged(grouped.join(rows, ["first_id", "first_text"]))
+    single, many = (own_rows(docs, chosen.filter(c), id_col, text_col).select(docs["*"]) for c in ("copies = 1", "copies > 1"))
+    many = many.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "__text"]).drop("__text")
+    return single.unionByName(many).unionByName(docs.filter(F.col(id_col).isNull()))

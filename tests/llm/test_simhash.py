@@ -228,3 +228,12 @@ def test_similarity_of_little_more_than_the_least(spark, docs):
         assert 0.8 <= similarity < 0.85
         found = simhash.similar_texts(docs(*rows)).filter("component_id <> doc_id").count()
         assert 192 <= found <= 200
+
+
+def test_repeated_ids_of_different_texts(spark, docs):
+    """The only copy of a text stays, whatever other rows have its doc_id."""
+    one, other, third = ("one two three four five six seven", "quite another text of its own words", "a third text that nobody else has")
+    rows = [(3, one), (7, one), (7, other), (7, other), (3, third), (None, other)]
+    for part in (rows, rows[::-1]):
+        kept = sorted(map(str, ((r.doc_id, r.text) for r in simhash.one_of_each(docs(*part)).collect())))
+        assert kept == sorted(map(str, [(3, one), (7, other), (3, third), (None, other)]))
