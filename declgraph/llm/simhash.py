@@ -254,6 +254,13 @@ class Similar:
         return [f"w{k}" for k in range(self.words)]
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each of x with each of y; fingerprints of several words are rows."""
+    if x.ndim == 1:
+        return bits(x[:, None] ^ y[None, :])
+    return sum(bits(x[:, None, k] ^ y[None, :, k]).astype(np.int32) for k in range(x.shape[1]))
+
+
 def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links that keep the components of fingerprints within ``most`` bits, one fewer than members.
 
@@ -271,7 +278,7 @@ def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             if len(block) > step:
                 front.append(block[step:])
                 block = block[:step]
-            near = bits(fp[block][:, None] ^ fp[rest][None, :]) <= most
+            near = distance(fp[block], fp[rest]) <= most
             hit = near.any(axis=0)
             if hit.any():
                 parents.append(block[near.argmax(axis=0)[hit]])
@@ -338,24 +345,60 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Ite
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "tree"][: len(columns)])
 
 
-def across(batches: Iterator[pa.RecordBatch], settings: Similar) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tree, node, root, probe, w0, ...) sorted by key and tree -> all links (a, b) within the
-    bit bounds between nodes of one tree whose roots differ."""
-    for key, tree, node, root, probe, *words in groups(batches, 2):
+def forests(batches: Iterator[pa.RecordBatch], settings: Similar) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tree, node, w0, ...) sorted by key and tree -> links (a, b) that keep each tree's components
+    within the bound of all bits."""
+    for key, tree, node, *words in groups(batches, 2):
         opens = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])])
-        for low, high in zip(opens, np.r_[opens[1:], len(key)]):
-            if (root[low:high] == root[low]).all():
+        prints = np.stack(words, axis=1)
+        found = [tuple(low + x for x in forest(prints[low:high], settings.near_all)[:2]) for low, high in zip(opens, np.r_[opens[1:], len(key)])]
+        a, b = (node[np.concatenate(x)] for x in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def exact_forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Positions of links that keep the components of sets of a Jaccard similarity of 0.8 or more."""
+    sizes = np.array([len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.r_[0, np.cumsum(sizes)]
+    rest, parents, children = np.ones(len(sets), bool), [], []
+    for root in range(len(sets)):
+        front = [root] if rest[root] else []
+        rest[root] = False
+        while front and rest.any():
+            x = front.pop()
+            has = np.zeros(number.max() + 1, np.int64)
+            has[number[starts[x] : starts[x + 1]]] = 1
+            both = np.add.reduceat(has[number], starts[:-1])
+            hit = np.flatnonzero(rest & (9 * both >= 4 * (sizes + sizes[x])))
+            parents += [x] * len(hit)
+            children += hit.tolist()
+            front += hit.tolist()
+            rest[hit] = False
+    return parents, children
+
+
+def exact_links(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, node, text) sorted by part and node -> links (a, b) of each part by the exact similarity."""
+    part, nodes, sets = None, [], []
+
+    def found() -> pa.RecordBatch:
+        a, b = exact_forest(sets) if len(sets) > 1 else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in a], pa.int64()), pa.array([nodes[x] for x in b], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for now, node, text in zip(*(batch.column(k) for k in range(3))):
+            now, node = now.as_py(), node.as_py()
+            if now != part:
+                yield found()
+                part, nodes, sets = now, [], []
+            if nodes and nodes[-1] == node:  # a repeated row
                 continue
-            step = max(1, (1 << 20) // int(high - low))
-            for at in range(low, high, step):
-                x, y = slice(at, min(at + step, high)), slice(at, high)
-                near = (root[x, None] != root[None, y]) & (bits(probe[x, None] ^ probe[None, y]) <= settings.near_first)
-                a, b = np.nonzero(near)
-                a, b = a[b > a] + at, b[b > a] + at
-                good = sum(bits(w[a] ^ w[b]).astype(np.int64) for w in words) <= settings.near_all
-                a, b = node[a[good]], node[b[good]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            some = hashes_of(text.as_py(), width)
+            if len(some):
+                nodes.append(node)
+                sets.append(some)
+    yield found()
 
 
 def hashes_of(text: str | None, width: int) -> np.ndarray:
@@ -370,35 +413,17 @@ def hashes_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, count))
 
 
-def shingle_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, text) -> (node, hashes)."""
-    for batch in batches:
-        sets = [hashes_of(t.as_py(), width).view(np.int64) for t in batch.column(1)]
-        ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "hashes"])
-
-
 def own_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of docs, with all columns and those of keys, by first_id and first_text, the hash of the text."""
     text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(keys, docs[id_col].eqNullSafe(keys["first_id"]) & (text == keys["first_text"]))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Similar, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingles have a Jaccard similarity of 0.8 or more, exactly."""
-    sides = [nodes.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_n"), *(F.col(w).alias(f"{n}_{w}") for w in settings.names)) for n in "ab"]
+def near_pairs(pairs: DataFrame, nodes: DataFrame, settings: Similar) -> DataFrame:
+    """The pairs (a, b) within the bound of all bits."""
+    sides = [nodes.select(F.col("node").alias(n), *(F.col(w).alias(f"{n}_{w}") for w in settings.names)) for n in "ab"]
     differ = sum(F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in settings.names)
-    sized = 5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")
-    near = staged(pairs.join(sides[0], "a").join(sides[1], "b").filter(sized & (differ <= settings.near_all)).select("a", "b", "a_n", "b_n"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first_id", "first_text")
-    small_batches(docs.sparkSession)
-    texts = own_rows(docs.select(id_col, text_col), wanted, id_col, text_col).select("node", text_col)
-    width = settings.width
-    sets = texts.mapInArrow(lambda batches: shingle_sets(batches, width), "node long, hashes array<long>").dropDuplicates(["node"])
-    sets = staged(sets)
-    joined = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return staged(joined.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("a_n") + F.col("b_n"))).select("a", "b"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(differ <= settings.near_all).select("a", "b")
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, settings: Similar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,19 +436,19 @@ def similar_links(nodes: DataFrame, docs: DataFrame, settings: Similar, id_col:
     dealt = keyed.select(key.alias("key"), "node", "probe").repartition("key").sortWithinPartitions("key", "node")
     most, bucket = settings.near_first, settings.bucket
     found = staged(dealt.mapInArrow(lambda batches: candidates(batches, most, bucket), "a long, b long, key long, tree long"))
-    tried = staged(found.select("a", "b").distinct())
-    good = verified(tried, nodes, docs, settings, id_col, text_col)
-    # trees with a link that isn't verified: their members are compared in pairs
+    near = staged(near_pairs(found.select("a", "b").distinct(), nodes, settings))
+    # trees with a link that is near by the first test only: forests of their members by all bits
     of_trees = found.filter("key IS NOT NULL")
-    broken = staged(of_trees.join(good, ["a", "b"], "left_anti").select("key", "tree").distinct())
-    if broken.isEmpty():
-        return good
-    members = of_trees.join(broken, ["key", "tree"]).select("key", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = components(good)
-    rooted = members.join(nodes.select("node", "probe", *settings.names), "node").join(roots, "node", "left")
-    dealt = rooted.select("key", "tree", "node", F.coalesce("root", "node").alias("root"), "probe", *settings.names).repartition("key", "tree").sortWithinPartitions("key", "tree", "node")
-    others = dealt.mapInArrow(lambda batches: across(batches, settings), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    return good.unionByName(verified(others, nodes, docs, settings, id_col, text_col))
+    broken = of_trees.join(near, ["a", "b"], "left_anti").select("key", "tree").distinct()
+    members = of_trees.join(broken, ["key", "tree"], "left_semi").select("key", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
+    dealt = members.join(nodes.select("node", *settings.names), "node").select("key", "tree", "node", *settings.names).repartition("key", "tree").sortWithinPartitions("key", "tree", "node")
+    near = near.unionByName(dealt.mapInArrow(lambda batches: forests(batches, settings), "a long, b long").distinct())
+    # the parts that hang together by bits; each node's text is read once, and its part's members are held against each other
+    parts = components(near).select("node", F.col("root").alias("part")).join(nodes, "node").select("part", "node", "first_id", "first_text")
+    texts = own_rows(docs.select(id_col, text_col), parts, id_col, text_col).select("part", "node", text_col)
+    small_batches(docs.sparkSession)
+    width = settings.width
+    return texts.repartition("part").sortWithinPartitions("part", "node").mapInArrow(lambda batches: exact_links(batches, width), "a long, b long")
 
 
 def similar_nodes(docs: DataFrame, settings: Similar, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
