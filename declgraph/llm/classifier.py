@@ -5,13 +5,14 @@ all documents are counted by pattern, of which there are at most 3^8, and
 expectation-maximisation over these counts estimates the share of good texts
 and how each labeller votes on good and on bad ones. The posterior of a text's
 pattern is its label. A linear scorer over hashed features (words, word
-shapes, style measures) learns these labels from at most about ``sample``
-documents, which are drawn by a hash of doc_id, so that each run and each
-partitioning draws the same. All documents are counted and scored.
+shapes, style measures) learns these labels from about ``sample`` documents at
+most, which are drawn by a hash of doc_id and text, so that each run and each
+partitioning draws the same; of equal rows one is drawn, and texts of more than ``longest``
+characters aren't learned from, which bounds what reaches the driver. All documents are counted and scored.
 
 Defined cases: a null or empty text has no words; the length labeller votes
-it bad and it is rejected; documents without doc_id are scored, too; repeated
-rows get equal scores; an empty table gives an empty result; other columns are
+it bad and it is rejected; documents without doc_id are scored, too, and drawn like
+any other; repeated rows get equal scores; an empty table gives an empty result; other columns are
 ignored in ``scores`` and kept in ``accepted``.
 """
 
@@ -46,6 +47,7 @@ CACHED = 300_000
 @dataclass(frozen=True)
 class Settings:
     sample: int = 4096  #: documents that the scorer learns from, about
+    longest: int = 1 << 17  #: characters of a text that it learns from
     bits: int = 16  #: of the hashed features
     passes: int = 60
     threshold: float = 0.5
@@ -60,7 +62,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         core = word.strip(PUNCTUATION)
         case = "A" if core.isupper() else "a" if core.islower() else "Aa" if core.istitle() else "0" if core.isdigit() else "x" if core else ""
-        before, _, after = word[:200].partition(core[:200]) if core else (word, "", "")
+        before, _, after = word.partition(core) if core else (word, "", "")
         low = word.lower()
         packed = slot(f"w {low}", self.mask) | slot(f"s {before[:4]} {case} {after[:4]}", self.mask) << 24
         packed |= (len(word) > 1 and word.isupper()) << 48 | (low.strip(".,;:!?") in STOP_WORDS) << 49
@@ -203,7 +205,8 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     counts = {r[0]: r[1] for r in cast.groupBy("pattern").count().collect()}  # 3^8 rows at most
     posterior, total = fit_labels(counts), sum(counts.values())
     share = min(1.0, settings.sample / max(total, 1))
-    drawn = docs.select(F.xxhash64(id_col).alias("draw"), text_col).filter((F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))))
+    drawn = docs.select(F.xxhash64(id_col, text_col).alias("draw"), text_col).filter(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.filter(F.coalesce(F.length(text_col), F.lit(0)) <= settings.longest)
 
     def sparse(draws, texts):
         reader, rows = Reader(bits), []
@@ -213,8 +216,8 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
             rows.append((draw, slots.astype(np.int32).tobytes(), values.astype(np.float32).tobytes(), code))
         return [list(x) for x in zip(*rows)] or [[], [], [], []]
 
-    found = map_rows(drawn, sparse, "draw long, slots binary, shares binary, pattern int").collect()
-    found.sort(key=lambda r: (r.draw, bytes(r.slots), bytes(r.shares)))
+    found = map_rows(drawn, sparse, "draw long, slots binary, shares binary, pattern int").dropDuplicates(["draw"]).collect()
+    found.sort(key=lambda r: r.draw)
     rows = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.shares, np.float32), posterior[r.pattern]) for r in found]
     del found
     return Model(posterior, fit_scorer(rows, settings), settings)
