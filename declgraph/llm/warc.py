@@ -3,8 +3,12 @@
 An archive is a sequence of records, each in a gzip member of its own. The
 writer gives rows of whole archives (binary) of about ``roll`` bytes, which
 Spark stores wherever its session can write; ``read_files`` reads .warc.gz
-files through Spark's own file source. The reader inflates a member bit by
-bit, frames the block by Content-Length and checks the payload's SHA-1.
+files through Spark's own file source, each as one value, so up to 2 GB. The
+reader inflates a member bit by bit, frames the block by Content-Length and
+checks the SHA-1 of the payload, and of the block, where the record states them.
+
+Records of other writers are read as well: of any type, with HTTP heads in any
+encoding, with or without lengths and digests. What isn't an HTTP message is all payload.
 
 Of pages with equal payloads of at least ``least`` bytes, the one with the
 largest page_id is a response; the others are revisits that refer to it.
@@ -15,7 +19,8 @@ Defined cases: a null html is an empty payload; a page without page_id is
 a response; rows that repeat the largest page_id are all responses; a null url
 is an empty target; an empty table gives no archives and no records; other
 columns are ignored. A record that is cut off, or whose digest or length
-doesn't fit, raises an error.
+doesn't fit, raises an error, or is a row with an ``error`` if asked for; the
+reader then goes on at the next member that holds a record.
 """
 
 from __future__ import annotations
@@ -114,7 +119,11 @@ class Members:
 
 
 def fields(head: bytes) -> dict[str, str]:
-    first, *lines = head.decode("utf-8").split("\r\n")
+    try:
+        text = head.decode("utf-8")
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    first, *lines = text.split("\r\n")
     out = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     return out | {"": first}
 
@@ -124,53 +133,83 @@ def page(urn: str) -> int | None:
     return int(found) if found.lstrip("-").isdigit() else None
 
 
-def records(archive: bytes, keep_payload: bool = False) -> Iterator[dict]:
-    """Verified records in sequence. A payload is only held if it is asked for."""
-    members = Members(archive)
-    while members.more():
-        members.open()
-        head = fields(members.until(b"\r\n\r\n"))
-        if not head[""].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        size, kind = int(head["content-length"]), head["warc-type"]
-        pieces = members.exactly(size)
-        http, body = bytearray(), b""
-        for piece in pieces:
+def sha1_of(stated: str | None) -> str | None:
+    """The hex digits of a stated SHA-1, in base 32 or 16; None for another or no digest."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower() != "sha1":
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+def one_record(members: Members, keep_payload: bool) -> dict:
+    members.open()
+    head = fields(members.until(b"\r\n\r\n"))
+    if not head[""].startswith("WARC/") or not head.get("content-length", "").isdigit():
+        raise ValueError("not a WARC record")
+    kind = head.get("warc-type", "")
+    is_http = head.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+    of_block, sha, length = hashlib.sha1(), hashlib.sha1(), 0
+    kept: list[bytes] | None = [] if keep_payload else None
+    http, answer = bytearray(), None if is_http else {}
+    for piece in members.exactly(int(head["content-length"])):
+        of_block.update(piece)
+        if answer is None:
             http += piece
-            if (end := http.find(b"\r\n\r\n")) >= 0:
-                http, body = http[:end], bytes(http[end + 4 :])
-                break
-        answer = fields(bytes(http))
-        sha, length, kept = hashlib.sha1(body), len(body), [body] if keep_payload else None
-        for piece in pieces:
-            sha.update(piece)
-            length += len(piece)
-            if kept is not None:
-                kept.append(piece)
-        members.close()
-        named = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
-        if kind == "response" and (sha.hexdigest() != named or length != int(answer["content-length"])):
-            raise ValueError(f"payload of {head['warc-record-id']} doesn't fit its digest or length")
-        if kind == "revisit" and length:
-            raise ValueError("a revisit with a payload")
-        yield {
-            "page_id": page(head["warc-record-id"]),
-            "payload_bytes": int(answer["content-length"]),
-            "payload_digest": named,
-            "record_type": kind,
-            "refers_to": page(head["warc-refers-to"]) if "warc-refers-to" in head else None,
-            "url": head["warc-target-uri"],
-            "payload": b"".join(kept) if kept is not None else None,
-        }
+            if (end := http.find(b"\r\n\r\n")) < 0:
+                continue
+            answer, piece = fields(bytes(http[:end])), bytes(http[end + 4 :])
+        sha.update(piece)
+        length += len(piece)
+        if kept is not None:
+            kept.append(piece)
+    members.close()
+    stated, block = sha1_of(head.get("warc-payload-digest")), sha1_of(head.get("warc-block-digest"))
+    long = (answer or {}).get("content-length", "")
+    said = int(long) if long.isdigit() else None
+    if block and block != of_block.hexdigest():
+        raise ValueError(f"block of {head.get('warc-record-id')} doesn't fit its digest")
+    if kind == "revisit" and length:
+        raise ValueError("a revisit with a payload")
+    if kind != "revisit" and (stated != sha.hexdigest() if stated else said not in (None, length) and "transfer-encoding" not in answer):
+        raise ValueError(f"payload of {head.get('warc-record-id')} doesn't fit its digest or length")
+    return {
+        "page_id": page(head.get("warc-record-id", "")),
+        "payload_bytes": (said or 0) if kind == "revisit" else length,
+        "payload_digest": stated or (None if kind == "revisit" else sha.hexdigest()),
+        "record_type": kind,
+        "refers_to": page(head["warc-refers-to"]) if "warc-refers-to" in head else None,
+        "url": head.get("warc-target-uri", "").removeprefix("<").removesuffix(">"),
+        "payload": b"".join(kept) if kept is not None else None,
+        "error": None,
+    }
+
+
+def records(archive: bytes, keep_payload: bool = False, errors: bool = False) -> Iterator[dict]:
+    """Verified records in sequence. A payload is only held if it is asked for; with errors, damaged records are rows that say why."""
+    members, told = Members(archive), False
+    while members.more():
+        begin = members.at
+        try:
+            found = one_record(members, keep_payload)
+        except (ValueError, zlib.error) as e:
+            if not errors:
+                raise ValueError(str(e)) from e
+            if not told:
+                yield dict.fromkeys(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")) | {"error": str(e)}
+            told, after = True, archive.find(b"\x1f\x8b\x08", begin + 1)
+            members.at = after if after >= 0 else len(archive)
+            continue
+        told = False
+        yield found
 
 
 def classify(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, digest, refers_to (null for responses)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    digests = own.filter(F.octet_length("html") >= least).select("page_id", "digest")
-    groups = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisits = digests.join(groups, "digest").filter("page_id < refers_to").distinct()
+    digests = own.select("page_id", "digest", F.octet_length("html").alias("size")).filter(F.col("size") >= least)
+    groups = digests.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    revisits = digests.join(groups, ["digest", "size"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     return own.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
@@ -197,11 +236,11 @@ def archives(classified: DataFrame, roll: int = ROLL) -> DataFrame:
     return classified.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "warc binary, records long")
 
 
-def read(warcs: DataFrame, warc_col: str = "warc", payloads: bool = False) -> DataFrame:
+def read(warcs: DataFrame, warc_col: str = "warc", payloads: bool = False, errors: bool = False) -> DataFrame:
     """A row per record of the archives in a binary column."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"] + ["payload"] * payloads
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * payloads
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"] + ["payload"] * payloads + ["error"] * errors
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * payloads + [pa.string()] * errors
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads + ", error string" * errors
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=names)
@@ -210,7 +249,7 @@ def read(warcs: DataFrame, warc_col: str = "warc", payloads: bool = False) -> Da
         for given in batches:
             for archive in given.column(0):
                 rows, held = [], 0
-                for r in records(archive.as_py(), payloads):
+                for r in records(archive.as_py() or b"", payloads, errors):
                     rows.append(r)
                     held += len(r["payload"] or b"")
                     if len(rows) >= 1000 or held > 16 * ROLL:
@@ -222,9 +261,9 @@ def read(warcs: DataFrame, warc_col: str = "warc", payloads: bool = False) -> Da
     return warcs.select(warc_col).mapInArrow(run, schema)
 
 
-def read_files(spark, path: str, payloads: bool = False) -> DataFrame:
+def read_files(spark, path: str, payloads: bool = False, errors: bool = False) -> DataFrame:
     """The records of .warc.gz files."""
-    return read(spark.read.format("binaryFile").load(path), "content", payloads)
+    return read(spark.read.format("binaryFile").load(path), "content", payloads, errors)
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:

@@ -42,3 +42,43 @@ def test_revisits_have_no_payload():
     (r,) = warc.records(data, keep_payload=True)
     assert (r["record_type"], r["refers_to"], r["payload_bytes"], r["payload"]) == ("revisit", 9, 2000, b"")
     assert len(gzip.decompress(data)) < 700
+
+
+def member(head, block):
+    lines = ["WARC/1.0", *(f"{k}: {v}" for k, v in head.items()), f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def crawled():
+    """Records as crawlers write them: no lengths, other encodings, digests of blocks or in base 16, several types."""
+    sha = lambda x: hashlib.sha1(x).hexdigest()
+    info, body = b"software: x\r\n", b"<p>caf\xe9</p>"
+    answer = "HTTP/1.0 200 D'accord\r\nX-Nom: é\r\n\r\n".encode("latin-1") + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 3\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    return [
+        member({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>", "Content-Type": "application/warc-fields"}, info),
+        member({"WARC-Type": "request", "WARC-Target-URI": "<http://a/>", "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.0\r\n\r\n"),
+        member({"WARC-Type": "response", "WARC-Target-URI": "http://a/", "Content-Type": "application/http;msgtype=response", "WARC-Block-Digest": f"sha1:{sha(answer)}"}, answer),
+        member({"WARC-Type": "response", "WARC-Target-URI": "dns:a", "Content-Type": "text/dns", "WARC-Payload-Digest": "md5:00"}, b"a 1.2.3.4"),
+        member({"WARC-Type": "response", "WARC-Target-URI": "http://c/", "Content-Type": "application/http", "WARC-Payload-Digest": f"sha1:{sha(chunked.split(bytes([13, 10]) * 2, 1)[1])}"}, chunked),
+        member({"WARC-Type": "metadata"}, b""),
+    ], body, info
+
+
+def test_records_of_crawlers():
+    made, body, info = crawled()
+    found = list(warc.records(b"".join(made), keep_payload=True))
+    assert [r["record_type"] for r in found] == ["warcinfo", "request", "response", "response", "response", "metadata"]
+    assert [r["payload"] for r in found] == [info, b"", body, b"a 1.2.3.4", b"5\r\nhello\r\n0\r\n\r\n", b""]
+    assert [r["url"] for r in found] == ["", "http://a/", "http://a/", "dns:a", "http://c/", ""]
+    assert all(r["payload_bytes"] == len(r["payload"]) and r["payload_digest"] == hashlib.sha1(r["payload"]).hexdigest() for r in found)
+
+
+def test_damaged_records_are_rows(spark):
+    """The records before and after a damaged one are read, and the damage is told once."""
+    good = [warc.record(i, "u", b"payload" * i, hashlib.sha1(b"payload" * i).hexdigest(), None) for i in range(1, 5)]
+    broken = bytearray(good[1])
+    broken[len(broken) // 2] ^= 0x3C
+    rows = [(b"".join([good[0], bytes(broken), good[2]]),), (good[3][:-5],), (None,), (b"",), (b"no archive",)]
+    found = warc.read(spark.createDataFrame(rows, "warc binary"), errors=True).collect()
+    assert sorted(r.page_id for r in found if r.page_id) == [1, 3] and sum(r.error is not None for r in found) == 3
