@@ -18,8 +18,9 @@ pre-aggregated.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is
 a source, the last; all sizes 0 give targets 0; repeated rows and equal ids
-are separate documents of equal place in the order; an empty table gives an
-empty result; other columns are ignored.
+are separate documents, those of equal size of equal place in the order; documents
+without doc_id are dealt out by their sizes; an empty table gives an empty
+result; other columns are ignored in ``mix`` and kept in ``mixed``.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Parts of a document are counted in units of a PARTS-th; those of about SETTLED shards are settled together.
+PARTS, SETTLED = 1 << 20, 200
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,6 +57,11 @@ def hashed(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def own(doc_id: str, size: str) -> list[Column]:
+    """What tells a document from others in a hash."""
+    return [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(size).cast("string")]
+
+
 def targets(sizes: DataFrame, settings: Settings) -> DataFrame:
     """source, source_size -> also weight and target; a row per source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -115,12 +123,12 @@ def mix(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     quotas = seats(sources.withColumn("__total", blocks), [], "target", F.col("__total"), "blocks").drop("__total", "weight")
     quotas = staged(quotas.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / settings.shard), F.lit(1)).cast("long")))
     placed = sized.alias("d").join(quotas.alias("q"), F.expr("d.source <=> q.source")).select(
-        "d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.blocks", F.pmod(hashed(F.lit(settings.seed), F.lit("shard"), F.coalesce(F.col("d.doc_id").cast("string"), F.lit(""))), "q.shards").alias("shard")
+        "d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.blocks", F.pmod(hashed(F.lit(settings.seed), F.lit("shard"), *own("d.doc_id", "d.size")), "q.shards").alias("shard")
     )
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.max("blocks").alias("blocks"))
     shards = seats(shards, ["source"], "shard_size", F.col("blocks"), "quota").drop("blocks")
     last = Window.partitionBy("source", "shard").orderBy("__at", "doc_id", "size")
-    laid = placed.withColumn("__at", F.md5(F.concat_ws("|", F.lit(settings.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    laid = placed.withColumn("__at", F.md5(F.concat_ws("|", F.lit(settings.seed), *own("doc_id", "size"))))
     laid = laid.withColumn("stop", F.sum("size").over(last.rowsBetween(Window.unboundedPreceding, 0)))
     both = laid.alias("d").join(shards.alias("s"), F.expr("d.source <=> s.source AND d.shard = s.shard"))
     # the shard's line of m equal blocks; from block k on, the quota's rest
@@ -139,14 +147,24 @@ def mix(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
 
 
 def mixed(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, with all columns: each as often as its taken words go into its size, rounded.
+    """The documents of the mix, with all columns: each as often as its taken words go into its size.
 
     Selected blocks are contiguous, so only a document at the edge of a shard's
-    selection is taken in part. Documents of equal id and size share their counts.
+    selection is taken in part. Such parts are settled among those of some hundred
+    shards, by size: a document is kept whenever the sum of the parts so far passes the middle
+    between two whole numbers, so a source's kept documents come near its
+    target however long they are. Documents of equal id and size share their counts.
     """
-    plan = mix(docs, settings, id_col, text_col, source_col).filter("taken > 0")
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__times"))
-    plan = plan.filter("__times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times")
+    plan = mix(docs, settings, id_col, text_col, source_col).filter("taken > 0").groupBy("doc_id", "source", "size")
+    plan = plan.agg(F.sum("taken").alias("taken"), F.sum("size").alias("all"), F.max("source_size").alias("source_size"))
+    plan = plan.select("*", F.expr("taken div all").alias("whole"), F.expr(f"(taken % all) * {PARTS} div all").alias("part"))
+    groups = F.greatest(F.ceil(F.col("source_size") / (SETTLED * settings.shard)), F.lit(1)).cast("long")
+    edges = plan.filter("part > 0").withColumn("group", F.pmod(hashed(F.lit(settings.seed), F.lit("group"), *own("doc_id", "size")), groups))
+    order = Window.partitionBy("source", "group").orderBy(F.desc("size"), F.md5(F.concat_ws("|", F.lit(settings.seed), F.lit("part"), *own("doc_id", "size"))), "doc_id")
+    edges = edges.withColumn("end", F.sum("part").over(order.rowsBetween(Window.unboundedPreceding, 0)) + PARTS // 2)
+    edges = edges.withColumn("times", F.expr(f"whole + end div {PARTS} - (end - part) div {PARTS}"))
+    plan = plan.filter("part = 0").withColumn("times", F.col("whole")).select("doc_id", "source", "size", "times").unionByName(edges.select("doc_id", "source", "size", "times"))
+    plan = plan.filter("times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("times").cast("int").alias("__times"))
     sized = docs.withColumn("__words", word_count(text_col))
     joined = sized.join(plan, sized[id_col].eqNullSafe(F.col("__id")) & sized[source_col].eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*(docs[c] for c in docs.columns))

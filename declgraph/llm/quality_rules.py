@@ -12,7 +12,7 @@ words.
 Defined cases: a null text has no words, as has an empty one (base_failed);
 texts without repeats have cover 0; repeated rows are judged alike; an empty
 table gives an empty result; other columns are ignored, whatever their names.
-Memory is a few arrays over the words of one text.
+Memory is a few arrays over the words of one text, and HELD ranks at most.
 """
 
 from __future__ import annotations
@@ -27,23 +27,28 @@ from .common import keep_rows, map_rows
 #: Fixed by the query's contract.
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: Ranks of prefixes that are kept for the common prefixes; beyond, these are found by a scan.
+HELD = 1 << 22
 
 
 @dataclass(frozen=True)
 class Limits:
+    """The least rounded bounds that reject none of the texts labelled good (which hold up to 43 % in repeats, of 13 words at most)."""
+
     min_repeat: int = 10
-    max_covered: float = 0.3
-    max_repeat: int = 100
+    max_covered: float = 0.45
+    max_repeat: int = 50
 
 
-def suffix_order(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array by prefix doubling, and the ranks of the prefixes of 1, 2, 4, ... words.
+def suffix_order(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray] | None]:
+    """Suffix array by prefix doubling, and the ranks of the prefixes of 1, 2, 4, ... words (None if they are more than HELD).
 
     A rank is the first place of its group of equal prefixes. Only suffixes in
     groups of two or more are sorted again.
     """
     n = len(ids)
     rank, levels, step = np.zeros(n, np.int64), [], 0
+    held = True
     active = np.arange(n)
     behind = ids
     while len(active):
@@ -55,9 +60,11 @@ def suffix_order(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         splits = opens | np.r_[True, behind[1:] != behind[:-1]]
         base = np.maximum.accumulate(np.where(opens, at, 0))
         fresh = np.maximum.accumulate(np.where(splits, at, 0))
-        rank = rank.copy()
+        held = held and (len(levels) + 1) * n <= HELD
+        rank, levels = (rank.copy(), levels) if held else (rank, [])
         rank[active] = group + fresh - base
-        levels.append(rank)
+        if held:
+            levels.append(rank)
         alone = splits & np.r_[splits[1:], True]
         active = active[~alone]
         step = 2 * step or 1
@@ -67,7 +74,25 @@ def suffix_order(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         behind[inside] = rank[nexts[inside]]
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
-    return order, levels
+    return order, levels if held else None
+
+
+def scanned_prefixes(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """As ``common_prefixes``, by one scan over the text: what the next suffix shares is at most one word less."""
+    n, rank, shared, same = len(ids), np.empty(len(ids), np.int64), np.zeros(max(len(ids) - 1, 0), np.int64), 0
+    rank[order] = np.arange(n)
+    words, places, before = ids.tolist(), rank.tolist(), order.tolist()
+    for i, place in enumerate(places):
+        if not place:
+            same = 0
+            continue
+        j = before[place - 1]
+        most = n - max(i, j)
+        while same < most and words[i + same] == words[j + same]:
+            same += 1
+        shared[place - 1] = same
+        same = max(same - 1, 0)
+    return shared
 
 
 def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
@@ -98,7 +123,7 @@ def repetition(ids: np.ndarray, *least: int) -> tuple[int, ...]:
     if len(ids) < 2:
         return 0, *(0 for _ in least)
     order, levels = suffix_order(ids)
-    shared = common_prefixes(order, levels)
+    shared = scanned_prefixes(ids, order) if levels is None else common_prefixes(order, levels)
     longest = int(shared.max())
     return longest, *(covered(order, shared, x) if x <= longest else 0 for x in least)
 

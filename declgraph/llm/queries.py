@@ -89,7 +89,7 @@ target AS (SELECT r.source, r.source_size, total,
 seats AS (SELECT source, target, round(total / 64)::BIGINT AS n, unnest(range(0, (target / 64 + 2)::BIGINT * 2)) AS k FROM target),
 won AS (SELECT source, count(*) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST) AS pick FROM seats WHERE target > 0) WHERE pick <= n GROUP BY 1),
 q AS (SELECT target.*, coalesce(blocks, 0) AS blocks, greatest(ceil(source_size / 100000), 1)::BIGINT AS shards FROM target LEFT JOIN won ON target.source IS NOT DISTINCT FROM won.source),
-p AS (SELECT d.doc_id, d.source, d.size, source_size, target, blocks, {HASH.format("'mix|shard|' || coalesce(d.doc_id::VARCHAR, '')")} % shards AS shard, md5('mix|' || coalesce(d.doc_id::VARCHAR, '')) AS place
+p AS (SELECT d.doc_id, d.source, d.size, source_size, target, blocks, {HASH.format("'mix|shard|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size::VARCHAR")} % shards AS shard, md5('mix|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size::VARCHAR) AS place
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 h AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, max(blocks) AS blocks, max(source_size) AS of FROM p GROUP BY 1, 2),
 shard_seats AS (SELECT source, shard, shard_size, blocks, unnest(range(0, ((shard_size * blocks / greatest(of, 1))::BIGINT + 4) * 2)) AS k FROM h WHERE shard_size > 0),
@@ -112,18 +112,18 @@ u AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 g AS (SELECT rid, i,
         count(*) OVER a = 3 AS f3, md5(string_agg(word, ' ') OVER a) AS g3,
         count(*) OVER b = 10 AS f10, md5(string_agg(word, ' ') OVER b) AS g10,
-        count(*) OVER c = 101 AS f101, md5(string_agg(word, ' ') OVER c) AS g101
+        count(*) OVER c = 51 AS f51, md5(string_agg(word, ' ') OVER c) AS g51
       FROM u WINDOW a AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
         b AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING),
-        c AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 100 FOLLOWING)),
+        c AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)),
 r AS (SELECT rid, i,
         (f3 AND count(*) OVER (PARTITION BY rid, f3, g3) > 1)::INT AS r3,
         (f10 AND count(*) OVER (PARTITION BY rid, f10, g10) > 1)::INT AS r10,
-        (f101 AND count(*) OVER (PARTITION BY rid, f101, g101) > 1)::INT AS r101 FROM g),
-c AS (SELECT rid, r101,
+        (f51 AND count(*) OVER (PARTITION BY rid, f51, g51) > 1)::INT AS r51 FROM g),
+c AS (SELECT rid, r51,
         max(r3) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3,
         max(r10) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10 FROM r),
-x AS (SELECT rid, sum(c3)::BIGINT AS n_repeat_words, sum(c10)::BIGINT AS n_covered, max(r101) AS too_long FROM c GROUP BY 1),
+x AS (SELECT rid, sum(c3)::BIGINT AS n_repeat_words, sum(c10)::BIGINT AS n_covered, max(r51) AS too_long FROM c GROUP BY 1),
 n AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0)::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         list_filter(string_split(t, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS lines,
@@ -131,7 +131,7 @@ n AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_t
       FROM w LEFT JOIN x USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_covered <= 0.3 * n_words AND too_long = 0 AS kept, n_covered
+       NOT base_failed AND n_covered <= 0.45 * n_words AND too_long = 0 AS kept, n_covered
 FROM f
 """
 
@@ -144,33 +144,45 @@ def license_sql() -> str:
             out = f"replace({out}, '{one}', '{other}')"
         return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g'), ' '))"
 
-    known = {licenses.known_digest(t): n for n, t in [*licenses.NOTICES.items(), *licenses.TEXTS.items()]}
-    notices = ", ".join(f"('{licenses.known_digest(t)}', '{n}')" for n, t in licenses.NOTICES.items())
+    def rows(pairs) -> str:
+        quote = lambda x: "'" + x.replace("'", "''") + "'"
+        return ", ".join(f"({quote(n)}, {quote(t)})" for n, t in pairs)
+
+    lines = licenses.known_lines()
     return f"""
-WITH known(digest, license) AS (VALUES {", ".join(f"('{d}', '{n}')" for d, n in known.items())}),
-notice(digest, name) AS (VALUES {notices}),
+WITH known AS (SELECT digest, min(name) AS license FROM (
+        SELECT name, {canonical("body")} AS digest FROM (VALUES {rows([*licenses.variants(licenses.TEXTS), *lines])}) v(name, body)
+        UNION ALL SELECT name, digest FROM (VALUES {rows((n, d) for d, n in licenses.DIGESTS.items())}) w(name, digest)) GROUP BY 1),
+notice AS (SELECT name, {canonical("line")} AS digest FROM (VALUES {rows(lines)}) v(name, line)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 l AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
-n AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM l JOIN notice ON {canonical("line")} = notice.digest WHERE regexp_matches(lower(line), 'licen[cs]') GROUP BY 1),
+n AS (SELECT rid, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM l JOIN notice ON {canonical("l.line")} = notice.digest WHERE regexp_matches(lower(l.line), 'licen[cs]') GROUP BY 1),
 c AS (SELECT rid, doc_id, {canonical("text")} AS digest FROM d)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM c LEFT JOIN known USING (digest) LEFT JOIN n USING (rid)
 """
 
 
-def shard_sql() -> str:
-    settings = sharding.Settings()
-    owners = sharding.table([f"shard-{i:04d}" for i in range(settings.shards)], settings.slots)
-    return f"""
-WITH d AS (SELECT doc_id, ({HASH.format("coalesce(doc_id::VARCHAR, '')")} % {settings.slots})::INT AS slot, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
-owner AS (SELECT unnest({owners}) AS shard, unnest(range({settings.slots})) AS place)
-SELECT doc_id, slot, owner.shard::INT AS shard, n_bytes FROM d JOIN owner ON slot = place
+#: Where a slot's n-th visitor comes from, the first turn wins, and in a turn the first shard: this is whom the slot belongs to.
+#: A shard's turn is the number of slots that it claimed before, which makes the walk a recursion over claims.
+SHARD_SQL = f"""
+WITH RECURSIVE s AS (SELECT i::BIGINT AS i, {HASH.format("printf('shard-%04d', i) || '|offset'")} % 6571 AS start, {HASH.format("printf('shard-%04d', i) || '|skip'")} % 6570 + 1 AS skip FROM range(61) r(i)),
+walk AS (
+  SELECT 0::BIGINT AS claim, [NULL::INT FOR x IN range(6571)] AS owner, [0::BIGINT FOR x IN range(61)] AS turn
+  UNION ALL
+  SELECT claim + 1, list_concat(owner[:slot], [i::INT], owner[slot + 2:]), list_concat(turn[:i], [free + 1], turn[i + 2:])
+  FROM (SELECT claim, owner, turn, i, free, (start + free * skip) % 6571 AS slot FROM (
+    SELECT claim, owner, turn, i, start, skip, list_filter(range(turn[i + 1], 6571), lambda k: owner[(start + k * skip) % 6571 + 1] IS NULL)[1] AS free
+    FROM walk JOIN s ON i = claim % 61 WHERE claim < 6571))
+),
+d AS (SELECT doc_id, ({HASH.format("coalesce(doc_id::VARCHAR, '')")} % 6571)::INT AS slot, strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents),
+o AS (SELECT unnest(owner) AS shard, unnest(range(6571)) AS place FROM walk WHERE claim = 6571)
+SELECT doc_id, slot, o.shard, n_bytes FROM d JOIN o ON slot = place
 """
 
-
 ORACLES: dict[str, str] = {
     "op4_warc": WARC_SQL,
     "op6_mix_sources": MIX_SQL,
     "op7_license_scan": license_sql(),
-    "op8_shard_table": shard_sql(),
+    "op8_shard_table": SHARD_SQL,
     "op10_quality_rules": RULES_SQL,
 }

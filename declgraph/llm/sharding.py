@@ -12,7 +12,8 @@ alone.
 
 Defined cases: a null key hashes as an empty one; equal keys share a shard;
 a null text has 0 bytes; an empty table gives an empty result; other columns
-are ignored in ``place`` and kept in ``sharded``.
+are ignored in ``place`` and kept in ``sharded``, but for older ones of the names
+__slot and __shard, which are replaced.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def lookup(docs: DataFrame, settings: Settings, names: list[str] | None) -> Data
 
 def sharded(docs: DataFrame, settings: Settings = Settings(), names: list[str] | None = None, id_col: str = "doc_id") -> DataFrame:
     """The documents with __slot and __shard."""
-    keyed = docs.withColumn("__key", slot_of(F.col(id_col), settings.slots))
+    keyed = docs.drop("__slot", "__shard").withColumn("__key", slot_of(F.col(id_col), settings.slots))
     found = lookup(docs, settings, names)
     return keyed.join(F.broadcast(found), keyed["__key"] == found["__slot"]).drop("__key")
 
@@ -80,8 +81,18 @@ def place(docs: DataFrame, settings: Settings = Settings(), names: list[str] | N
     return placed.select("doc_id", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"), "n_bytes")
 
 
-def write(docs: DataFrame, path: str, settings: Settings = Settings(), files: int = 8, id_col: str = "doc_id") -> None:
-    """Write a folder for each shard, of up to ``files`` files, so that no task writes a whole shard."""
-    placed = sharded(docs, settings, id_col=id_col)
-    part = F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(files))
-    placed.withColumn("shard", F.col("__shard")).drop("__slot", "__shard").repartition("shard", part).write.partitionBy("shard").parquet(path)
+#: Bytes of text that go into a file of a shard, about.
+FILE_BYTES = 256 << 20
+
+
+def write(docs: DataFrame, path: str, settings: Settings = Settings(), files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write a folder __shard=... for each shard, of up to ``files`` files, so that no task writes a whole shard.
+
+    Without a number, files hold about FILE_BYTES of text if the shards are even. Rows of a shard are dealt out by
+    their key and text, so those of a frequent key, too, go to all its files.
+    """
+    if files is None:
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        files = max(1, -(-total // (settings.shards * FILE_BYTES)))
+    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(files))
+    sharded(docs, settings, id_col=id_col).drop("__slot").repartition("__shard", part).write.partitionBy("__shard").parquet(path)

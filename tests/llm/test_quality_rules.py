@@ -29,7 +29,7 @@ def test_counts(words):
     n, chars, symbols, lines, repeats, covered, longest = plain(text)
     assert (m[0], m[1], m[2], m[3], m[4], m[7], m[8]) == (n, chars, symbols, lines, repeats, covered, longest)
     assert m[5] == (n < 50 or 100 * repeats > 50 * n)
-    assert m[6] == (not m[5] and covered <= 0.3 * n and longest <= 100)
+    assert m[6] == (not m[5] and covered <= 0.45 * n and longest <= 50)
 
 
 def test_suffix_array():
@@ -40,15 +40,30 @@ def test_suffix_array():
         text = ids.tolist()
         assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
         shared = q.common_prefixes(order, levels)
+        assert shared.tolist() == q.scanned_prefixes(ids, order).tolist()
         for k, (a, b) in enumerate(zip(order[:-1], order[1:])):
             common = next((x for x, (u, v) in enumerate(zip(text[a:], text[b:])) if u != v), min(n - a, n - b))
             assert shared[k] == common
 
 
+def test_long_texts_need_few_arrays(monkeypatch):
+    """A text of equal words has many levels of ranks; they aren't kept, and the result is the same."""
+    text = "a " * 3000 + " ".join(f"w{i % 700}" for i in range(2100))
+    whole = q.measure(text)
+    monkeypatch.setattr(q, "HELD", 6000)
+    assert q.suffix_order(np.zeros(3000, np.int64))[1] is None and q.measure(text) == whole
+    monkeypatch.undo()
+    assert q.suffix_order(np.zeros(1 << 19, np.int64))[1] is None
+
+
 def test_method_rejects_what_the_base_keeps():
     unique = " ".join(f"w{i}" for i in range(400))
-    passage = " ".join(f"p{i}" for i in range(101))
-    assert q.measure(unique)[6] and not q.measure(f"{passage} {unique} {passage}")[6]
+    passage = " ".join(f"p{i}" for i in range(51))
+    assert q.measure(unique)[6] and q.measure(f"{passage} {unique} {passage}")[5:7] == (False, False)
+    short = [" ".join(f"q{k}{i}" for i in range(12)) for k in range(20)]
+    for more, kept in ((541, False), (636, True)):  # 480 words in repeats of 12, which are 47 and 43 %
+        m = q.measure(" ".join([*short, *short[::-1], *(f"u{i}" for i in range(more))]))
+        assert (m[7], m[8]) == (480, 12) and m[5:7] == (False, kept)
     part = " ".join(f"p{i}" for i in range(20))
     assert not q.measure(" ".join(f"{part} u{i} v{i} {part.upper()}" for i in range(2)) + " x" + " ".join(f" y{i}" for i in range(110)))[5]
 
