@@ -22,10 +22,11 @@ COLUMNS = {
     "store_website": "website_id int, code string, name string, is_default int",
     "customer_group": "customer_group_id int, customer_group_code string, tax_class_id int",
     "tax_class": "class_id int, class_name string",
-    "customer_entity": "entity_id int, email string, firstname string, lastname string, group_id int, website_id int, created_at timestamp",
-    "sales_order": "entity_id long, increment_id string, status string, state string, customer_id int, customer_email string, store_id int, grand_total decimal(20,4), total_refunded decimal(20,4), created_at timestamp",
-    "sales_order_payment": "parent_id long, method string, last_trans_id string, po_number string",
-    "sales_payment_transaction": "order_id long, txn_id string",
+    "customer_entity": "entity_id int, email string, firstname string, lastname string, group_id int, website_id int, created_in string, created_at timestamp, is_active int, confirmation string, lock_expires timestamp, failures_num int, default_billing int, default_shipping int",
+    "sales_order": "entity_id long, increment_id string, status string, state string, store_id int, created_at timestamp, updated_at timestamp, customer_id int, customer_email string, customer_firstname string, customer_lastname string, customer_is_guest int, base_currency_code string, order_currency_code string, coupon_code string, shipping_method string, total_qty_ordered decimal(12,4), quote_id long, "
+    + ", ".join(f"{p}{t} decimal(20,4)" for t in ("subtotal", "shipping_amount", "tax_amount", "discount_amount", "grand_total", "total_paid", "total_refunded", "total_due") for p in ("", "base_")),
+    "sales_order_payment": "parent_id long, method string, last_trans_id string, po_number string, additional_information string",
+    "sales_payment_transaction": "transaction_id long, order_id long, txn_id string, txn_type string, is_closed int, created_at timestamp",
     "sales_order_status": "status string, label string",
     "sales_order_status_state": "status string, state string, is_default int, visible_on_front int",
     "sales_sequence_meta": "meta_id int, entity_type string, store_id int, sequence_table string",
@@ -37,17 +38,78 @@ COLUMNS = {
     "indexer_state": "indexer_id string, status string, updated timestamp",
     "mview_state": "view_id string, mode string, status string, version_id long",
     "admin_user": "user_id int, username string, email string, is_active int, created timestamp, logdate timestamp, lock_expires timestamp",
-    "authorization_role": "role_id int, parent_id int, role_type string, user_id int, role_name string",
+    "authorization_role": "role_id int, parent_id int, role_type string, user_type string, user_id int, role_name string",
     "authorization_rule": "role_id int, resource_id string, permission string",
     "eav_entity_type": "entity_type_id int, entity_type_code string",
     "eav_attribute": "attribute_id int, entity_type_id int, attribute_code string, backend_type string, frontend_input string, frontend_label string, is_required int",
-    "catalog_category_entity": "entity_id int, parent_id int, level int, position int",
-    "catalog_product_entity": "entity_id int, sku string, type_id string",
-    "cms_page": "page_id int, identifier string, title string, is_active int",
-    "cms_block": "block_id int, identifier string, title string, is_active int",
-    "salesrule": "rule_id int, name string, is_active int, sort_order int",
-    "salesrule_coupon": "coupon_id int, rule_id int, code string, times_used int",
+    "catalog_category_entity": "entity_id int, parent_id int, path string, level int, position int, children_count int",
+    "catalog_product_entity": "entity_id int, sku string, type_id string, attribute_set_id int, created_at timestamp, updated_at timestamp",
+    "cms_page": "page_id int, identifier string, title string, is_active int, creation_time timestamp, update_time timestamp, layout_update_xml string, custom_layout_update_xml string, content string",
+    "cms_block": "block_id int, identifier string, title string, is_active int, creation_time timestamp, update_time timestamp, content string",
+    "salesrule": "rule_id int, name string, description string, is_active int, from_date date, to_date date, sort_order int",
+    "salesrule_coupon": "coupon_id int, rule_id int, code string, times_used int, usage_limit int, expiration_date timestamp",
     "core_config_data": "scope string, scope_id int, path string, value string",
+    "catalog_product_website": "product_id int, website_id int",
+    "catalog_product_super_link": "link_id int, product_id int, parent_id int",
+    "catalog_product_super_attribute": "product_id int, attribute_id int, position int",
+    "catalog_product_link": "link_id int, product_id int, linked_product_id int, link_type_id int",
+    "catalog_product_link_attribute": "product_link_attribute_id int, link_type_id int, product_link_attribute_code string",
+    "catalog_product_link_attribute_int": "product_link_attribute_id int, link_id int, value int",
+    "catalog_product_link_attribute_decimal": "product_link_attribute_id int, link_id int, value decimal(20,4)",
+    "catalog_product_bundle_option": "option_id int, parent_id int, required int, position int, type string",
+    "catalog_product_bundle_option_value": "option_id int, store_id int, title string",
+    "catalog_product_bundle_selection": "option_id int, parent_product_id int, product_id int, position int, is_default int, selection_price_type int, selection_price_value decimal(20,4), selection_qty decimal(20,4)",
+    "catalog_product_entity_media_gallery": "value_id int, value string, media_type string, disabled int",
+    "catalog_product_entity_media_gallery_value": "value_id int, store_id int, label string, position int, disabled int",
+    "catalog_product_entity_media_gallery_value_to_entity": "value_id int, entity_id int",
+    "catalog_product_entity_tier_price": "entity_id int, website_id int, all_groups int, customer_group_id int, qty decimal(20,4), value decimal(20,4), percentage_value decimal(20,4)",
+    "catalog_product_index_price": "entity_id int, customer_group_id int, website_id int, price decimal(20,4), final_price decimal(20,4), min_price decimal(20,4), max_price decimal(20,4), tier_price decimal(20,4)",
+    "catalogrule_product_price": "product_id int, rule_date date, customer_group_id int, website_id int, rule_price decimal(20,4)",
+    "catalog_category_product": "category_id int, product_id int, position int",
+    "cataloginventory_stock_item": "product_id int, qty decimal(20,4), is_in_stock int, manage_stock int",
+    "inventory_source_item": "sku string, source_code string, quantity decimal(20,4), status int",
+    "eav_attribute_set": "attribute_set_id int, entity_type_id int, attribute_set_name string",
+    "eav_attribute_group": "attribute_group_id int, attribute_group_name string",
+    "eav_entity_attribute": "attribute_id int, attribute_set_id int, attribute_group_id int",
+    "eav_attribute_option": "option_id int, attribute_id int, sort_order int",
+    "eav_attribute_option_value": "option_id int, store_id int, value string",
+    "catalog_eav_attribute": "attribute_id int, is_global int, is_searchable int, is_filterable int, is_comparable int, used_in_product_listing int, used_for_sort_by int, is_visible_on_front int",
+    "cms_page_store": "page_id int, store_id int",
+    "cms_block_store": "block_id int, store_id int",
+    "integration": "integration_id int, name string, email string, endpoint string, status int, consumer_id int, created_at timestamp, updated_at timestamp",
+    "oauth_consumer": "entity_id int, key string, secret string",
+    "oauth_token": "consumer_id int, type string, token string, secret string, revoked int",
+    "directory_country_region": "region_id int, code string",
+    "directory_currency_rate": "currency_from string, currency_to string, rate decimal(24,12)",
+    "tax_calculation_rate": "tax_calculation_rate_id int, code string, tax_country_id string, tax_region_id int, tax_postcode string, zip_is_range int, zip_from int, zip_to int, rate decimal(12,4)",
+    "tax_calculation_rule": "tax_calculation_rule_id int, code string, priority int, position int, calculate_subtotal int",
+    "tax_calculation": "tax_calculation_rule_id int, tax_calculation_rate_id int, customer_tax_class_id int, product_tax_class_id int",
+    "catalogrule": "rule_id int, name string, description string, is_active int, from_date date, to_date date, simple_action string, discount_amount decimal(20,4), sort_order int, stop_rules_processing int, conditions_serialized string",
+    "catalogrule_website": "rule_id int, website_id int",
+    "catalogrule_customer_group": "rule_id int, customer_group_id int",
+    "catalogrule_product": "rule_id int, product_id int",
+    "salesrule_website": "rule_id int, website_id int",
+    "salesrule_customer_group": "rule_id int, customer_group_id int",
+    "sales_order_item": "item_id long, order_id long, parent_item_id long, sku string, name string, product_type string, qty_ordered decimal(12,4), qty_invoiced decimal(12,4), qty_shipped decimal(12,4), qty_refunded decimal(12,4), qty_canceled decimal(12,4), price decimal(20,4), row_total decimal(20,4)",
+    "sales_order_address": "entity_id long, parent_id long, address_type string, firstname string, lastname string, street string, postcode string, city string, country_id string, telephone string",
+    "sales_order_status_history": "entity_id long, parent_id long, status string, comment string, created_at timestamp, is_customer_notified int",
+    "sales_order_grid": "entity_id long",
+    "sales_invoice": "entity_id long, increment_id string, order_id long, state int, order_currency_code string, transaction_id string, subtotal decimal(20,4), tax_amount decimal(20,4), shipping_amount decimal(20,4), grand_total decimal(20,4), created_at timestamp",
+    "sales_creditmemo": "entity_id long, increment_id string, order_id long, state int, order_currency_code string, subtotal decimal(20,4), tax_amount decimal(20,4), shipping_amount decimal(20,4), grand_total decimal(20,4), adjustment_positive decimal(20,4), adjustment_negative decimal(20,4), created_at timestamp",
+    "sales_shipment": "entity_id long, increment_id string, order_id long, total_qty decimal(12,4), created_at timestamp",
+    "sales_invoice_item": "entity_id long, parent_id long, sku string, name string, qty decimal(12,4), price decimal(20,4), row_total decimal(20,4)",
+    "sales_creditmemo_item": "entity_id long, parent_id long, sku string, name string, qty decimal(12,4), price decimal(20,4), row_total decimal(20,4)",
+    "sales_shipment_item": "entity_id long, parent_id long, sku string, name string, qty decimal(12,4)",
+    "sales_shipment_track": "entity_id long, parent_id long, order_id long, carrier_code string, title string, track_number string",
+    "quote": "entity_id long, is_active int, store_id int, created_at timestamp, updated_at timestamp, converted_at timestamp, customer_id int, customer_email string, customer_firstname string, customer_lastname string, customer_is_guest int, checkout_method string, quote_currency_code string, items_qty decimal(12,4), is_virtual int, coupon_code string, reserved_order_id string, subtotal decimal(20,4), grand_total decimal(20,4)",
+    "quote_item": "item_id long, quote_id long, parent_item_id long, sku string, name string, product_type string, qty decimal(12,4), price decimal(20,4), row_total decimal(20,4), discount_amount decimal(20,4)",
+    "quote_address": "address_id long, quote_id long, address_type string, firstname string, lastname string, street string, postcode string, city string, country_id string, shipping_method string, shipping_amount decimal(20,4), tax_amount decimal(20,4), discount_amount decimal(20,4)",
+    "quote_payment": "quote_id long, method string",
+    "customer_address_entity": "entity_id int, parent_id int, firstname string, lastname string, street string, postcode string, city string, country_id string, telephone string",
+    "customer_log": "customer_id int, last_login_at timestamp, last_logout_at timestamp",
+    "newsletter_subscriber": "subscriber_id int, customer_id int, subscriber_email string, store_id int, subscriber_status int",
+    "theme": "theme_id int, parent_id int, theme_path string, area string",
+    "translation": "string string, translate string, store_id int, locale string",
     "setup_module": "module string, schema_version string, data_version string",
     "patch_list": "patch_name string",
 }
@@ -114,13 +176,21 @@ class Live:
         return counts.join(last.withColumnRenamed("status", "last_status"), "job_code", "left").withColumn("seconds_ago", age)
 
     def cron_history(self, job: str, limit: int) -> DataFrame:
-        return self.table("cron_schedule").filter(F.col("job_code") == job).orderBy(F.desc("scheduled_at"), F.desc("schedule_id")).limit(limit)
+        """The job's runs, less those that wait, the latest first: by their run or else their plan."""
+        runs = self.table("cron_schedule").filter((F.col("job_code") == job) & (F.col("status") != "pending"))
+        return runs.orderBy(F.desc(F.coalesce("executed_at", "scheduled_at")), F.desc("schedule_id")).limit(limit)
+
+    def last_errors(self) -> DataFrame:
+        return self.table("cron_schedule").filter("status = 'error'").groupBy("job_code").agg(F.max_by("messages", "schedule_id").alias("last_error"))
+
+    def next_runs(self) -> DataFrame:
+        return self.table("cron_schedule").filter("status = 'pending'").groupBy("job_code").agg(F.min("scheduled_at").alias("next_run"))
 
     def queue_backlog(self, known: DataFrame, now: Column) -> DataFrame:
         """Messages of each queue by state; queues that only one side knows stay. known: queue."""
         states = {2: "new", 3: "in_progress", 4: "complete", 5: "retry", 6: "error", 7: "to_be_deleted"}
         messages = self.table("queue_message_status")
-        counts = messages.groupBy("queue_id").agg(*(F.count(F.when(F.col("status") == k, 1)).alias(v) for k, v in states.items()), F.min(F.when(F.col("status") == 2, F.col("updated_at"))).alias("oldest"))
+        counts = messages.groupBy("queue_id").agg(*(F.count(F.when(F.col("status") == k, 1)).alias(v) for k, v in states.items()), F.min(F.when(F.col("status").isin(2, 5), F.col("updated_at"))).alias("oldest"))
         live = self.table("queue").select("id", F.col("name").alias("queue")).join(counts, F.col("id") == F.col("queue_id"), "left")
         joined = known.select("queue", F.lit(True).alias("declared")).distinct().join(live.withColumn("stored", F.lit(True)), "queue", "full_outer")
         zero = [F.coalesce(v, F.lit(0)).alias(v) for v in states.values()]
@@ -157,7 +227,7 @@ class Live:
 
     def admin_users(self, now: Column) -> DataFrame:
         role = self.table("authorization_role")
-        own = role.filter("role_type = 'U'").select(F.col("user_id").alias("__u"), F.col("parent_id").alias("__r"))
+        own = role.filter("role_type = 'U' AND user_type = '2'").select(F.col("user_id").alias("__u"), F.col("parent_id").alias("__r"))
         named = role.filter("role_type = 'G'").select(F.col("role_id").alias("__g"), "role_name")
         joined = self.table("admin_user").join(own, F.col("user_id") == F.col("__u"), "left").join(named, F.col("__r") == F.col("__g"), "left")
         return joined.select("user_id", "username", "email", (F.col("is_active") == 1).alias("active"), "role_name", F.timestamp_diff("SECOND", F.col("logdate"), now).alias("seconds_since_login"), F.coalesce(F.col("lock_expires") > now, F.lit(False)).alias("locked"))
@@ -166,7 +236,7 @@ class Live:
         """Roles with their users and allowed resources, each sorted; a role without either stays."""
         role = self.table("authorization_role")
         groups = role.filter("role_type = 'G'").select("role_id", "role_name")
-        users = role.filter("role_type = 'U'").join(self.table("admin_user").select("user_id", "username"), "user_id").groupBy(F.col("parent_id").alias("role_id")).agg(F.array_sort(F.collect_set("username")).alias("users"))
+        users = role.filter("role_type = 'U' AND user_type = '2'").join(self.table("admin_user").select("user_id", "username"), "user_id").groupBy(F.col("parent_id").alias("role_id")).agg(F.array_sort(F.collect_set("username")).alias("users"))
         allowed = self.table("authorization_rule").filter("permission = 'allow'").groupBy("role_id").agg(F.array_sort(F.collect_set("resource_id")).alias("resources"))
         return groups.join(users, "role_id", "left").join(allowed, "role_id", "left").orderBy("role_name")
 
@@ -206,7 +276,7 @@ class Live:
         """Categories in pre-order, with name, and whether they and all above them are active."""
         named = self.values_in(self.values("catalog_category", "catalog_category_entity").filter(F.col("attribute_code").isin("name", "is_active")), store)
         wide = named.groupBy("entity_id").agg(F.max(F.when(F.col("attribute_code") == "name", F.col("value"))).alias("name"), F.max(F.when(F.col("attribute_code") == "is_active", F.col("value"))).alias("is_active"))
-        rows = self.table("catalog_category_entity").join(wide, "entity_id", "left")
+        rows = self.table("catalog_category_entity").drop("path").join(wide, "entity_id", "left")
         off = F.when(F.coalesce("is_active", F.lit("1")) == "0", 1).otherwise(0)
         label = F.struct(F.coalesce("position", F.lit(0)).alias("position"), F.col("entity_id").alias("id"), off.alias("off"))
         tree = graph.with_paths(rows, "entity_id", "parent_id", label)
