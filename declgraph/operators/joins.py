@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .merge import null_safe
+
 
 def presence_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys and ``presence``: missing (left alone), extra (right alone) or both."""
-    a = left.select(*keys).distinct().withColumn("__a", F.lit(True))
-    b = right.select(*keys).distinct().withColumn("__b", F.lit(True))
-    presence = F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "extra").otherwise("both")
-    return a.join(b, list(keys), "full_outer").select(*keys, presence.alias("presence"))
+    a = left.select(*keys).withColumn("__a", F.lit(True)).withColumn("__b", F.lit(False))
+    b = right.select(*keys).withColumn("__a", F.lit(False)).withColumn("__b", F.lit(True))
+    sides = a.unionByName(b).groupBy(*keys).agg(F.bool_or("__a").alias("__a"), F.bool_or("__b").alias("__b"))  # null is a key, too
+    presence = F.when(~F.col("__b"), "missing").when(~F.col("__a"), "extra").otherwise("both")
+    return sides.select(*keys, presence.alias("presence"))
 
 
 def tree_diff(left: DataFrame, right: DataFrame, key: str, content: str) -> DataFrame:
@@ -29,7 +32,7 @@ def tree_diff(left: DataFrame, right: DataFrame, key: str, content: str) -> Data
         F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "extra").when(F.col("__a") == F.col("__b"), "identical")
         .when(F.col("__as") == F.col("__bs"), "reordered").otherwise("changed")
     )
-    return digests(left, "a").join(digests(right, "b"), key, "full_outer").select(key, state.alias("state"))
+    return null_safe(digests(left, "a"), digests(right, "b"), [key], "full_outer").select(key, state.alias("state"))
 
 
 def topic_regex(pattern: str) -> str:

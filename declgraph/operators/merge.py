@@ -17,6 +17,22 @@ def rank(order: Sequence[str]) -> Column:
     return F.struct(*order)
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """left joined with right on keys of which null is a value like any other; the keys stand once.
+
+    Other columns of right must not be in left.
+    """
+    named = right.select(*(F.col(k).alias(f"__r_{k}") for k in keys), *(c for c in right.columns if c not in keys), F.lit(True).alias("__met"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"__r_{k}"])
+    joined = left.join(named, on, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    both = [F.when(F.col("__met").isNotNull(), F.col(f"__r_{k}")).otherwise(left[k]).alias(k) for k in keys] if how == "full_outer" else [left[k] for k in keys]
+    return joined.select(*both, *(left[c] for c in left.columns if c not in keys), *(named[c] for c in right.columns if c not in keys))
+
+
 def merge_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last whole row of each key."""
     row = F.max_by(F.struct(*df.columns), rank(order)).alias("row")
@@ -52,14 +68,14 @@ def tombstones(df: DataFrame, keys: Sequence[str], deleted: Column, order: Seque
     one task's window.
     """
     last = df.filter(deleted).groupBy(*keys).agg(F.max(rank(order)).alias("__last"))
-    joined = df.join(last, list(keys), "left")
+    joined = null_safe(df, last, keys, "left")
     return joined.filter(F.col("__last").isNull() | (rank(order) > F.col("__last"))).select(*df.columns)
 
 
 def layer_replace(df: DataFrame, keys: Sequence[str], layer: str) -> DataFrame:
     """All rows of each key's highest layer; lower layers are replaced as a whole."""
     top = df.groupBy(*keys).agg(F.max(layer).alias("__top"))
-    return df.join(top, list(keys)).filter(F.col(layer) == F.col("__top")).select(*df.columns)
+    return null_safe(df, top, keys, "inner").filter(F.col(layer) == F.col("__top")).select(*df.columns)
 
 
 def ordered_union(df: DataFrame, keys: Sequence[str], item: str, order: Sequence[str]) -> DataFrame:
@@ -84,7 +100,7 @@ def area_deltas(merged: DataFrame, globally: DataFrame, keys: Sequence[str], val
     differs = F.lit(False)
     for v in values:
         differs = differs | ~F.col(v).eqNullSafe(F.col(f"global_{v}"))
-    return merged.join(other, list(keys), "left").filter(differs)
+    return null_safe(merged, other, keys, "left").filter(differs)
 
 
 def deep_merge(nodes: DataFrame, keys: Sequence[str], layer: str, order: Sequence[str]) -> DataFrame:
@@ -102,7 +118,7 @@ def deep_merge(nodes: DataFrame, keys: Sequence[str], layer: str, order: Sequenc
     # a node falls if one of its own or outer paths was reset after it
     outer = top.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", 1, n))).alias("__outer"))
     resets = changes.select(*keys, F.col("path").alias("__outer"), "__reset")
-    met = outer.join(resets, [*keys, "__outer"], "left")
+    met = null_safe(outer, resets, [*keys, "__outer"], "left")
     live = met.groupBy(*keys, "path", *(c for c in top.columns if c not in (*keys, "path"))).agg(F.max("__reset").alias("__reset")).filter(F.col("__reset").isNull() | (rank(order) >= F.col("__reset")))
     row = F.max_by(F.struct("kind", "value"), rank(order)).alias("row")
     return live.groupBy(*keys, "path").agg(row, F.min(rank(order)).alias("position")).select(*keys, "path", "row.kind", "row.value", "position")

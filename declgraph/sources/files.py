@@ -62,4 +62,4 @@ def located(files: DataFrame, known: DataFrame) -> DataFrame:
 def classes(files: DataFrame) -> DataFrame:
     """class, kind, parents, path, line of the PHP files."""
     found = files.filter(F.col("path").endswith(".php")).select("path", php.class_of("content").alias("c"), php.plugin_methods("content").alias("steps"))
-    return found.filter("c IS NOT NULL").select(F.col("c.name").alias("class"), "c.kind", "c.parents", "path", "c.line", "steps")
+    return found.filter("c IS NOT NULL").select(F.col("c.name").alias("class"), "c.kind", "c.abstract", "c.parents", "path", "c.line", "steps")

@@ -62,6 +62,20 @@ SPECS: dict[str, Spec] = {
     "widget_parameters": Spec("widget.xml", ("widget", "parameters", "parameter"), {"widget": "widget.id", "name": "name", "type": "type", "required": "required", "sort_order": "sort_order"}),
     "fieldsets": Spec("fieldset.xml", ("scope", "fieldset", "field"), {"scope": "scope.id", "fieldset": "fieldset.id", "field": "name"}),
     "fieldset_aspects": Spec("fieldset.xml", ("scope", "fieldset", "field", "aspect"), {"scope": "scope.id", "fieldset": "fieldset.id", "field": "field.name", "aspect": "name", "target": "targetField"}),
+    "indexer_titles": Spec("indexer.xml", ("indexer", "title"), {"id": "indexer.id", "value": "text()"}),
+    "extension_resources": Spec("extension_attributes.xml", ("extension_attributes", "attribute", "resources", "resource"), {"for": "extension_attributes.for", "code": "attribute.code", "ref": "ref"}),
+    "extension_joins": Spec("extension_attributes.xml", ("extension_attributes", "attribute", "join"), {"for": "extension_attributes.for", "code": "attribute.code", "reference_table": "reference_table", "reference_field": "reference_field", "join_on_field": "join_on_field"}),
+    "extension_fields": Spec("extension_attributes.xml", ("extension_attributes", "attribute", "join", "field"), {"for": "extension_attributes.for", "code": "attribute.code", "field": "text()"}),
+    "system_tab_labels": Spec("system.xml", ("tab", "label"), {"tab_id": "tab.id", "value": "text()"}),
+    "system_section_labels": Spec("system.xml", ("section", "label"), {"section": "section.id", "value": "text()"}),
+    "system_section_tabs": Spec("system.xml", ("section", "tab"), {"section": "section.id", "value": "text()"}),
+    "system_group_labels": Spec("system.xml", ("section", "group", "label"), {"section": "section.id", "group": "group.id", "value": "text()"}),
+    "system_field_labels": Spec("system.xml", ("section", "group", "field", "label"), {"section": "section.id", "group": "group.id", "id": "field.id", "value": "text()"}),
+    "system_config_paths": Spec("system.xml", ("section", "group", "field", "config_path"), {"section": "section.id", "group": "group.id", "id": "field.id", "value": "text()"}),
+    "system_source_models": Spec("system.xml", ("section", "group", "field", "source_model"), {"section": "section.id", "group": "group.id", "id": "field.id", "value": "text()"}),
+    "system_backend_models": Spec("system.xml", ("section", "group", "field", "backend_model"), {"section": "section.id", "group": "group.id", "id": "field.id", "value": "text()"}),
+    "widget_labels": Spec("widget.xml", ("widget", "label"), {"id": "widget.id", "value": "text()"}),
+    "widget_descriptions": Spec("widget.xml", ("widget", "description"), {"id": "widget.id", "value": "text()"}),
     "module": Spec("module.xml", ("module",), {"name": "name", "setup_version": "setup_version"}),
     "module_sequence": Spec("module.xml", ("module", "sequence", "module"), {"of": "module.name", "after": "name"}),
 }

@@ -39,12 +39,16 @@ def changes(before: DataFrame, after: DataFrame, key: str, content: str) -> Data
     return a.join(b, key, "full_outer").select(key, content, action.alias("action")).filter("action IS NOT NULL")
 
 
-def write_deltas(stream: DataFrame, current: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], folder: str, key: str, content: str):
-    """For each micro-batch, hand the differences to what is stored to ``apply``; answers the running query."""
+def write_deltas(stream: DataFrame, current: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], folder: str, key: str, content: str, version: str):
+    """For each micro-batch, hand the differences to what is stored to ``apply``; answers the running query.
+
+    Of a key's rows in a batch the one of the highest version counts; one without content is a deletion.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        newest = rows.groupBy(key).agg(F.last(content).alias(content))
-        apply(changes(current().join(newest.select(key), key, "left_semi"), newest, key, content), number)
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(content), version).alias("__r")).select(key, f"__r.{content}")
+        before = current().join(newest.select(key), key, "left_semi")
+        apply(changes(before, newest.filter(F.col(content).isNotNull()), key, content), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", folder).outputMode("append").start()
 

@@ -159,8 +159,8 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_stream_of_deltas(spark, tmp_path):
     """Each micro-batch hands on what differs from the state that the batches before have left."""
     source, seen, state = str(tmp_path / "in"), [], {}
-    for k, rows in enumerate([[("a", "1"), ("b", "1")], [("a", "1"), ("b", "2"), ("c", "3")]]):
-        spark.createDataFrame(rows, "path string, content string").coalesce(1).write.mode("append").parquet(f"{source}/k={k}")
+    for k, rows in enumerate([[("b", "1", 2), ("a", "1", 1), ("b", "0", 1)], [("a", "1", 3), ("b", "2", 5), ("b", "9", 4), ("c", "3", 1)], [("a", None, 9), ("c", "4", 2), ("c", None, 1)]]):
+        spark.createDataFrame(rows, "path string, content string, version int").repartition(2).write.mode("append").parquet(f"{source}/k={k}")
 
     def current():
         return spark.createDataFrame(sorted(state.items()), "path string, content string")
@@ -168,14 +168,30 @@ def test_stream_of_deltas(spark, tmp_path):
     def apply(changes, number):
         rows = sorted((r.path, r.content, r.action) for r in changes.collect())
         seen.append(rows)
-        state.update({p: c for p, c, _ in rows})
-
-    for k in (0, 1):
-        stream = spark.readStream.schema("path string, content string").parquet(f"{source}/k={k}")
-        events.write_deltas(stream, current, apply, str(tmp_path / f"out{k}"), "path", "content").processAllAvailable()
+        state.update({p: c for p, c, a in rows if a == "write"})
+        for p, _, a in rows:
+            if a == "delete":
+                del state[p]
+
+    for k in (0, 1, 2):
+        stream = spark.readStream.schema("path string, content string, version int").parquet(f"{source}/k={k}")
+        events.write_deltas(stream, current, apply, str(tmp_path / f"out{k}"), "path", "content", "version").processAllAvailable()
     for query in spark.streams.active:
         query.stop()
-    assert seen == [[("a", "1", "write"), ("b", "1", "write")], [("b", "2", "write"), ("c", "3", "write")]]
+    assert seen == [[("a", "1", "write"), ("b", "1", "write")], [("b", "2", "write"), ("c", "3", "write")], [("a", None, "delete"), ("c", "4", "write")]]
+
+
+def test_null_is_a_key(spark):
+    """Merges and diffs take a missing key for a key like any other."""
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, 1, "c")], "k int, layer int, v string")
+    rows = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
+    assert rows(merge.layer_replace(df, ["k"], "layer")) == rows(df.filter("v <> 'a'"))
+    assert rows(merge.tombstones(df, ["k"], F.col("v") == "a", ["layer"])) == rows(df.filter("v <> 'a'"))
+    other = spark.createDataFrame([(None, "a"), (2, "c")], "k int, v string")
+    one = df.filter("layer = 1").select("k", "v")
+    assert rows(joins.presence_diff(one, other, ["k"])) == ["(1, 'missing')", "(2, 'extra')", "(None, 'both')"]
+    assert rows(joins.tree_diff(one, other, "k", "v")) == ["(1, 'missing')", "(2, 'extra')", "(None, 'identical')"]
+    assert merge.area_deltas(one, other, ["k"], ["v"]).count() == 1
 
 
 def test_more_scalars(spark):
