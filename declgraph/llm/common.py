@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.storage import checkpoint_folder, staged
 
-__all__ = ["checkpoint_folder", "keep_rows", "map_rows", "read_table", "small_batches", "staged"]
+__all__ = ["batches_of", "checkpoint_folder", "keep_rows", "map_rows", "read_table", "small_batches", "staged"]
 
 #: Rows per Arrow batch; a batch of documents then stays in the megabytes.
 BATCH_ROWS = 512
@@ -26,6 +27,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside, on short rows, reaches Python in batches of so many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_rows(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """Apply function(columns as Python lists) -> list of columns, batch by batch."""
     names = [part.strip().split()[0] for part in schema.split(",")]

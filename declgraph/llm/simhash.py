@@ -24,6 +24,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -34,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, staged
+from .common import batches_of, map_rows, staged
+from .components import components
+from .parts import hashes_of, in_blocks, verified_links
 
 #: Members of a key that are compared in pairs.
 BUCKET = 24
@@ -155,7 +158,8 @@ def links(distinct: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame
     if most not in (1, 2):
         raise ValueError("two segments of which one differs by at most one bit: most is 1 or 2")
     dealt = variants(distinct).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = staged(dealt.mapInArrow(lambda batches: verify(batches, most, bucket), "a long, b long"))
+    with batches_of(distinct.sparkSession, CHUNK):
+        found = staged(dealt.mapInArrow(lambda batches: verify(batches, most, bucket), "a long, b long"))
     hot = found.filter("b IS NULL").select("a").distinct()
     if most == 2:
         point = F.when(F.col("at") < 0, F.col("a")).otherwise(F.col("a").bitwiseXOR(F.expr("shiftleft(1L, at)")))
@@ -170,28 +174,6 @@ def links(distinct: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame
     return found.filter("b IS NOT NULL").unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node with an edge; root is the least node it reaches.
-
-    edges has columns a and b. Each round lets every node point its larger,
-    then its smaller neighbours to the least one; a table of stars stays as it is.
-    """
-    now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    signature = None
-    for _ in range(rounds):
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(CAST(xxhash64(v, u) % 1000003 AS BIGINT))")).first()
-        if seen == signature or not seen[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        signature = seen
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = staged(small.filter("u <> v").distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of documents (doc_id, fp) by the edges between fingerprints.
 
@@ -234,8 +216,9 @@ class Similar:
     that, of which one does so in most cases: 98 % at 0.8, 99.5 % at 0.84.
     The bit bounds lie more than three deviations above what a pair at 0.8 differs in;
     they only spare work, as the shingles decide.
-    ``segment`` has to grow with the logarithm of the corpus: pairs by chance
-    share a key at a rate of about (segment + 1) / 2^segment for each segment.
+    ``segment`` has to grow with the logarithm of the corpus, as texts by chance
+    share a key, and then there are more segments for the same rate: ``of``
+    gives both for a number of texts.
     """
 
     width: int = 5
@@ -243,7 +226,22 @@ class Similar:
     segment: int = 20  #: bits
     near_first: int = 14  #: bits of the PROBE ones of a further word, which has no segment
     near_all: int = 100  #: bits of all words with segments
-    bucket: int = 8
+    bucket: int = 8  #: members of a key that are compared in pairs; hardly any key has more by chance
+    full: int = 2048  #: members of a segment's value beyond which they are held against the least one
+    members: int = 256  #: texts that one task verifies together, about
+    weight: int = 1 << 20  #: and their shingles
+    prints: int = 4096  #: fingerprints that one task holds against each other, about
+
+    @classmethod
+    def of(cls, texts: int, recall: float = 0.98, similarity: float = 0.8, **more) -> Similar:
+        """Settings for so many texts: a key has two members by chance, at most, and a pair of the similarity
+        shares one with the probability ``recall``, at any size."""
+        p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        segment = max(20, math.ceil(math.log2(max(texts, 2))))
+        share = (1 - p) ** segment + segment * p * (1 - p) ** (segment - 1)
+        words = math.ceil(math.ceil(math.log(1 - recall) / math.log(1 - share)) / (64 // segment))
+        above = 4.2 * math.sqrt(64 * words * p * (1 - p))
+        return cls(words=words, segment=segment, near_all=math.ceil(64 * words * p + above), **more)
 
     @property
     def per_word(self) -> int:
@@ -256,25 +254,23 @@ class Similar:
 
 def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Differing bits of each of x with each of y; fingerprints of several words are rows."""
-    if x.ndim == 1:
-        return bits(x[:, None] ^ y[None, :])
-    return sum(bits(x[:, None, k] ^ y[None, :, k]).astype(np.int32) for k in range(x.shape[1]))
+    differ = bits(x[:, None] ^ y[None, :])
+    return differ if x.ndim == 1 else differ.sum(axis=2, dtype=np.int32)
 
 
-def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links that keep the components of fingerprints within ``most`` bits, one fewer than members.
+def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that keep the components of fingerprints within ``most`` bits, one fewer than members.
 
-    Positions of both ends, and of the first member of the tree. Each component is walked
-    from a member on; who has been reached isn't compared any more, so a tight group takes
+    Each component is walked from a member on; who has been reached isn't compared any more, so a tight group takes
     about one comparison a member.
     """
-    parents, children, trees = [], [], []
+    parents, children = [], []
     rest = np.arange(len(fp))
     while len(rest) > 1:
-        root, front, rest = rest[0], [rest[:1]], rest[1:]
+        front, rest = [rest[:1]], rest[1:]
         while front and len(rest):
             block = front.pop()
-            step = max(1, (1 << 20) // len(rest))
+            step = max(1, (1 << 18) // len(rest))
             if len(block) > step:
                 front.append(block[step:])
                 block = block[:step]
@@ -283,22 +279,21 @@ def forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             if hit.any():
                 parents.append(block[near.argmax(axis=0)[hit]])
                 children.append(rest[hit])
-                trees.append(np.full(int(hit.sum()), root))
                 front.append(rest[hit])
                 rest = rest[~hit]
     empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *parents]), np.concatenate([empty, *children]), np.concatenate([empty, *trees])
+    return np.concatenate([empty, *parents]), np.concatenate([empty, *children])
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of whole groups of rows sorted by their first ``keys`` columns."""
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups of rows sorted by their first column."""
     waiting: list[list[np.ndarray]] = []  # of the last group, as long as it goes on
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [c.to_numpy() for c in batch.columns]
-        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in now[:keys]])) + 1
-        if waiting and any(waiting[-1][k][-1] != now[k][0] for k in range(keys)):
+        new = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+        if waiting and waiting[-1][0][-1] != now[0][0]:
             new = np.r_[0, new]
         if not len(new):
             waiting.append(now)
@@ -313,20 +308,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nda
 
 
 def candidates(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key -> links (a, b) of fingerprints of one key within ``most`` bits.
+    """Rows (key, node, fp) sorted by key -> links (a, b, tree) of nodes of one key whose fp are within ``most`` bits.
 
-    All pairs of a key of up to ``bucket`` members, a forest of a larger one. Rows (key, node, fp) ->
-    (a, b, key, tree) of nodes; key and tree, the forest's tree, are null for pairs of a small key.
+    All pairs of a key of up to ``bucket`` members; of a larger one a forest, the links of which have ``tree`` set.
     """
-    for key, node, *fp in groups(batches, 1):
-        fp = fp[0] if (named_nodes := bool(fp)) else node
+    for key, node, fp in groups(batches):
         opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[opens, len(key)])
-        a, b, tree = [], [], []
+        a, b = [], []
         for at, n in zip(opens[sizes > bucket], sizes[sizes > bucket]):
-            for out, found in zip((a, b, tree), forest(fp[at : at + n], most)):
+            for out, found in zip((a, b), forest(fp[at : at + n], most)):
                 out.append(at + found)
-        large = sum(map(len, a))
+        trees = sum(map(len, a))
         small = np.flatnonzero(np.repeat(sizes <= bucket, sizes))
         for d in range(1, bucket):
             x, y = small[:-d], small[d:]
@@ -337,80 +330,9 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int, bucket: int) -> Ite
             good = bits(fp[x] ^ fp[y]) <= most
             a.append(x[good])
             b.append(y[good])
-        a, b, tree = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b, tree))
-        columns = [pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))]
-        if named_nodes:
-            nulls = pa.nulls(len(a) - large, pa.int64())
-            columns += [pa.concat_arrays([pa.array(key[tree]), nulls]), pa.concat_arrays([pa.array(node[tree]), nulls])]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "tree"][: len(columns)])
-
-
-def forests(batches: Iterator[pa.RecordBatch], settings: Similar) -> Iterator[pa.RecordBatch]:
-    """Rows (key, tree, node, w0, ...) sorted by key and tree -> links (a, b) that keep each tree's components
-    within the bound of all bits."""
-    for key, tree, node, *words in groups(batches, 2):
-        opens = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])])
-        prints = np.stack(words, axis=1)
-        found = [tuple(low + x for x in forest(prints[low:high], settings.near_all)[:2]) for low, high in zip(opens, np.r_[opens[1:], len(key)])]
-        a, b = (node[np.concatenate(x)] for x in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def exact_forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Positions of links that keep the components of sets of a Jaccard similarity of 0.8 or more."""
-    sizes = np.array([len(x) for x in sets])
-    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.r_[0, np.cumsum(sizes)]
-    rest, parents, children = np.ones(len(sets), bool), [], []
-    for root in range(len(sets)):
-        front = [root] if rest[root] else []
-        rest[root] = False
-        while front and rest.any():
-            x = front.pop()
-            has = np.zeros(number.max() + 1, np.int64)
-            has[number[starts[x] : starts[x + 1]]] = 1
-            both = np.add.reduceat(has[number], starts[:-1])
-            hit = np.flatnonzero(rest & (9 * both >= 4 * (sizes + sizes[x])))
-            parents += [x] * len(hit)
-            children += hit.tolist()
-            front += hit.tolist()
-            rest[hit] = False
-    return parents, children
-
-
-def exact_links(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, node, text) sorted by part and node -> links (a, b) of each part by the exact similarity."""
-    part, nodes, sets = None, [], []
-
-    def found() -> pa.RecordBatch:
-        a, b = exact_forest(sets) if len(sets) > 1 else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in a], pa.int64()), pa.array([nodes[x] for x in b], pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        for now, node, text in zip(*(batch.column(k) for k in range(3))):
-            now, node = now.as_py(), node.as_py()
-            if now != part:
-                yield found()
-                part, nodes, sets = now, [], []
-            if nodes and nodes[-1] == node:  # a repeated row
-                continue
-            some = hashes_of(text.as_py(), width)
-            if len(some):
-                nodes.append(node)
-                sets.append(some)
-    yield found()
-
-
-def hashes_of(text: str | None, width: int) -> np.ndarray:
-    """The hashes of the text's different shingles, sorted."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    count = max(1, len(words) - width + 1)
-    shingles = (b" ".join(words[i : i + width]) for i in range(count))
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), shingles), np.uint64, count))
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+        columns = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), np.arange(len(a)) < trees]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["a", "b", "tree"])
 
 
 def own_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -426,29 +348,83 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, settings: Similar) -> DataFra
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(differ <= settings.near_all).select("a", "b")
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, settings: Similar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) between nodes (node, first_id, first_text, shingles, probe, w0, w1, ...)."""
+def segments_of(nodes: DataFrame, settings: Similar) -> DataFrame:
+    """Rows (node, probe, no, part): the segments of each fingerprint."""
     s, per = settings.segment, settings.per_word
-    parts = F.array(*(F.shiftrightunsigned(w, s * k).bitwiseAND((1 << s) - 1) for w in settings.names for k in range(per)))
-    segments = nodes.select("node", "probe", F.posexplode(parts).alias("no", "part"))
+    parts = [F.shiftrightunsigned(w, s * k).bitwiseAND((1 << s) - 1) for w in settings.names for k in range(per)]
+    return nodes.select("node", "probe", F.posexplode(F.array(*parts)).alias("no", "part"))
+
+
+def full_segments(segments: DataFrame, nodes: DataFrame, settings: Similar) -> tuple[DataFrame, DataFrame | None]:
+    """Segments of which no value has more than about ``full`` members, and the links (a, b) that stand for the rest.
+
+    The members of a fuller value are held against its least one, with those of the values
+    that differ in a bit: whoever is within twice the bound of all bits is linked to it.
+    Members within the bound itself are taken out: what is near one of them is linked, too, by
+    the triangle inequality. If more than ``full`` members remain, all are linked and taken out. The links only
+    say what has to be verified together. Values are counted before any of it is dealt out.
+    """
+    hot = staged(segments.groupBy("no", "part").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least")).filter(F.col("members") > settings.full))
+    if hot.isEmpty():
+        return segments, None
+    at = F.explode(F.array(*map(F.lit, range(-1, settings.segment)))).alias("at")
+    value = F.when(F.col("at") < 0, F.col("value")).otherwise(F.col("value").bitwiseXOR(F.expr("shiftleft(1L, at)")))
+    around = hot.select("no", F.col("part").alias("value"), "least", at).select("no", "value", "least", value.alias("part"), (F.col("at") < 0).alias("own"))
+    met = segments.join(around, ["no", "part"]).filter("node <> least").select("no", "value", "least", "node", "own")
+    sides = [nodes.select(F.col("node").alias(n), *(F.col(w).alias(f"{n}_{w}") for w in settings.names)) for n in ("node", "least")]
+    differ = sum(F.bit_count(F.col(f"node_{w}").bitwiseXOR(F.col(f"least_{w}"))) for w in settings.names)
+    met = staged(met.join(sides[0], "node").join(sides[1], "least").select("no", "value", "least", "node", "own", differ.alias("differ")))
+    rest = met.filter(F.col("own") & (F.col("differ") > settings.near_all)).groupBy("no", "value").agg(F.count(F.lit(1)).alias("rest"))
+    met = met.join(rest, ["no", "value"], "left").withColumn("all", F.coalesce("rest", F.lit(0)) > settings.full)
+    linked = met.filter(F.col("all") | (F.col("differ") <= 2 * settings.near_all)).select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b"))
+    out = met.filter(F.col("own") & (F.col("all") | (F.col("differ") <= settings.near_all))).select("no", "node")
+    return segments.join(out, ["no", "node"], "left_anti"), linked.distinct()
+
+
+def tree_links(trees: DataFrame, nodes: DataFrame, settings: Similar) -> DataFrame:
+    """Links within the bound of all bits that keep the components of the nodes of each part of the trees' links."""
+    most, names = settings.near_all, settings.names
+    parts = components(trees).select("node", F.col("root").alias("part")).join(nodes.select("node", *names), "node")
+    packed = F.concat(*(F.unhex(F.lpad(F.hex(w), 16, "0")) for w in names))
+    rows = staged(in_blocks(parts.select("part", "node", F.lit(1).alias("size"), packed.alias("hashes")), settings.prints, settings.prints))
+
+    def near(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return forest(np.stack(prints), most)
+
+    with batches_of(nodes.sparkSession, CHUNK):
+        return staged(verified_links(rows, settings.prints, settings.prints, near))
+
+
+def bit_links(nodes: DataFrame, settings: Similar) -> DataFrame:
+    """Links (a, b) that hold together what is near by bits, of nodes (node, probe, w0, w1, ...).
+
+    The pairs of a small key have to be near by all bits. A link of a larger key's tree that isn't near may stand
+    between two that are, so trees that meet are one part, and within a part all are held against each other.
+    """
+    s = settings.segment
+    segments, coarse = full_segments(segments_of(nodes, settings), nodes, settings)
     keyed = segments.select("node", "probe", "no", "part", F.explode(F.array(*map(F.lit, range(s)))).alias("at"))
     key = F.shiftleft((F.col("no") * s + F.col("at")).cast("long"), s).bitwiseOR(F.col("part").bitwiseAND(F.expr("~shiftleft(1L, at)")))
     dealt = keyed.select(key.alias("key"), "node", "probe").repartition("key").sortWithinPartitions("key", "node")
     most, bucket = settings.near_first, settings.bucket
-    found = staged(dealt.mapInArrow(lambda batches: candidates(batches, most, bucket), "a long, b long, key long, tree long"))
-    near = staged(near_pairs(found.select("a", "b").distinct(), nodes, settings))
-    # trees with a link that is near by the first test only: forests of their members by all bits
-    of_trees = found.filter("key IS NOT NULL")
-    broken = of_trees.join(near, ["a", "b"], "left_anti").select("key", "tree").distinct()
-    members = of_trees.join(broken, ["key", "tree"], "left_semi").select("key", "tree", F.explode(F.array("a", "b")).alias("node")).distinct()
-    dealt = members.join(nodes.select("node", *settings.names), "node").select("key", "tree", "node", *settings.names).repartition("key", "tree").sortWithinPartitions("key", "tree", "node")
-    near = near.unionByName(dealt.mapInArrow(lambda batches: forests(batches, settings), "a long, b long").distinct())
-    # the parts that hang together by bits; each node's text is read once, and its part's members are held against each other
-    parts = components(near).select("node", F.col("root").alias("part")).join(nodes, "node").select("part", "node", "first_id", "first_text")
-    texts = own_rows(docs.select(id_col, text_col), parts, id_col, text_col).select("part", "node", text_col)
-    small_batches(docs.sparkSession)
+    with batches_of(nodes.sparkSession, CHUNK):
+        found = staged(dealt.mapInArrow(lambda batches: candidates(batches, most, bucket), "a long, b long, tree boolean"))
+    near = near_pairs(found.filter("NOT tree").select("a", "b").distinct(), nodes, settings).unionByName(tree_links(found.filter("tree").select("a", "b"), nodes, settings))
+    return near if coarse is None else near.unionByName(coarse)
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, settings: Similar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) between nodes (node, first_id, first_text, shingles, probe, w0, w1, ...): the exact similarity's,
+    or as many of them as keep the components.
+
+    Each text that has a near one is read once.
+    """
+    parts = components(bit_links(nodes, settings)).select("node", F.col("root").alias("part")).join(nodes, "node")
+    parts = in_blocks(parts.select("part", "node", "first_id", "first_text", F.col("shingles").alias("size")), settings.members, settings.weight)
+    texts = own_rows(docs.select(id_col, text_col), parts, id_col, text_col).select("part", "node", "size", "blocks", text_col)
     width = settings.width
-    return texts.repartition("part").sortWithinPartitions("part", "node").mapInArrow(lambda batches: exact_links(batches, width), "a long, b long")
+    sets = map_rows(texts, lambda part, node, size, blocks, text: [part, node, size, blocks, [hashes_of(t, width).tobytes() for t in text]], "part long, node long, size long, blocks long, hashes binary")
+    return verified_links(staged(sets), settings.members, settings.weight)
 
 
 def similar_nodes(docs: DataFrame, settings: Similar, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -475,7 +451,7 @@ def similar_nodes(docs: DataFrame, settings: Similar, id_col: str, text_col: str
     return marked, staged(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text"), "copies", "shingles", *names))
 
 
-def similar_texts(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, settings: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id; links are texts whose shingles have a similarity of 0.8 or more.
 
     As ``near_duplicates``, but for fingerprints that differ in more bits: one-wildcard
@@ -483,17 +459,19 @@ def similar_texts(docs: DataFrame, settings: Similar = Similar(), id_col: str =
     chance, at the rates that ``Similar`` states; each is verified on its shingles. Equal
     sets of shingles are one node.
     """
+    settings = settings or Similar.of(docs.count())
     marked, nodes = similar_nodes(docs, settings, id_col, text_col)
     links = similar_links(nodes, docs, settings, id_col, text_col)
     return named(marked.select("doc_id", F.col("node").alias("fp"), F.col("w0").alias("shown")), nodes.select(F.col("node").alias("fp"), "first_id", "copies"), links)
 
 
-def one_of_each(docs: DataFrame, settings: Similar = Similar(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, settings: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component of similar texts, the one with the least doc_id, with all columns.
 
     A repeated doc_id stays as often as its texts are first of different components; of
     rows of the same doc_id and text one stays. Rows without doc_id all stay.
     """
+    settings = settings or Similar.of(docs.count())
     marked, nodes = similar_nodes(docs, settings, id_col, text_col)
     roots = components(similar_links(nodes, docs, settings, id_col, text_col))
     first = F.min(F.struct("first_id", "first_text")).alias("first")

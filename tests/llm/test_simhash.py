@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
-from declgraph.llm import simhash
+from declgraph.llm import parts, simhash
 
 
 def plain_fingerprint(text, width):
@@ -163,8 +163,8 @@ def test_candidates_are_those_of_brute_force():
     order = np.lexsort((fp, key))
     key, fp = key[order].astype(np.int64), fp[order].astype(np.int64)
     for size in (7, 30, 1000):
-        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(fp[i : i + size])], names=["key", "fp"]) for i in range(0, len(key), size)]
-        links = [p for b in simhash.candidates(iter(batches), 3, 8) for p in zip(*(c.to_pylist() for c in b.columns))]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (key, fp, fp)], names=["key", "node", "fp"]) for i in range(0, len(key), size)]
+        links = [p for b in simhash.candidates(iter(batches), 3, 8) for p in zip(*(c.to_pylist() for c in b.columns[:2]))]
         assert all((a ^ b).bit_count() <= 3 for a, b in links)
         whole = {frozenset(p) for k in set(key.tolist()) for a in fp[key == k].tolist() for b in fp[key == k].tolist() if a < b and (a ^ b).bit_count() <= 3 for p in [(a, b)]}
         assert {frozenset(p) for p in links if p[0] != p[1]} <= whole
@@ -237,3 +237,102 @@ def test_repeated_ids_of_different_texts(spark, docs):
     for part in (rows, rows[::-1]):
         kept = sorted(map(str, ((r.doc_id, r.text) for r in simhash.one_of_each(docs(*part)).collect())))
         assert kept == sorted(map(str, [(3, one), (7, other), (3, third), (None, other)]))
+
+
+def near_copies(groups, copies, seed):
+    """(id, text) of groups whose members differ from each other by more and more words, so that links form chains."""
+    random.seed(seed)
+    rows = []
+    for g in range(groups):
+        words = [f"{random.choice('abcdefgh')}{random.randrange(50000)}" for _ in range(150)]
+        for k in range(copies):
+            other = list(words)
+            for i in random.sample(range(1, 29), random.choice((1, 2, 2, 3))):
+                other[5 * i] += f"x{k % 3}"
+            rows.append((100 * g + k, " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("members", [3, 16])
+def test_blocks_give_the_components_of_all_pairs(spark, docs, members):
+    """Parts of many blocks, trees apart: as if each part were verified in one task."""
+    rows = near_copies(4, 40, 6) + [(1000 + k, " ".join(f"{w}{k // 20}" for w in range(40)) + f" end{k}") for k in range(60)]
+    found = {n: {r.doc_id: r.component_id for r in simhash.similar_texts(docs(*rows), simhash.Similar(members=n)).collect()} for n in (members, 10_000)}
+    assert found[members] == found[10_000]
+    assert 7 < len(set(found[members].values())) < 120
+
+
+def test_blocks_of_sets(spark):
+    """One part of chains, of a large tree and of texts on their own, against all pairs."""
+    import numpy as np
+
+    random.seed(9)
+    sets = [set(range(100 * c + k, 100 * c + k + 60)) for c in range(6) for k in range(0, 30, 2)] + [set(range(5000, 5050)) | {9000 + k} for k in range(40)] + [{7000 + k} for k in range(9)] + [set()] * 2
+    random.shuffle(sets)
+    rows = [(1, i, len(x), np.array(sorted(x), np.uint64).tobytes()) for i, x in enumerate(sets)]
+    made = spark.createDataFrame(rows + rows[:3], "part long, node long, size long, hashes binary")
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and len(a & b) >= 0.8 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    for members, weight in ((4, 10**6), (1000, 300), (1000, 10**6)):
+        links = parts.verified_links(parts.in_blocks(made, members, weight), members, weight)
+        assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links.collect())
+        found = dict(simhash.components(links).collect())
+        assert [found.get(i, i) for i in range(len(sets))] == label
+
+
+@pytest.mark.parametrize("full", [4, 12])
+def test_full_segments_lose_no_pair(spark, docs, full):
+    """Values of many members are held against one: the same result as when all are dealt out."""
+    rows = near_copies(4, 40, 11)
+    found = {n: {r.doc_id: r.component_id for r in simhash.similar_texts(docs(*rows), simhash.Similar(full=n)).collect()} for n in (full, 10_000)}
+    assert found[full] == found[10_000]
+
+
+def test_pairs_that_hang_on_another_text(spark):
+    """Sixteen fingerprints of one key, near the first by the first test only; two differ in one bit of all."""
+    settings = simhash.Similar(bucket=8)
+    random.seed(1)
+    hub = [random.getrandbits(63) for _ in range(settings.words)]
+    rows = []
+    for k in range(16):
+        words = [w ^ (random.getrandbits(63) & ~((1 << 20) - 1)) if i == 0 else random.getrandbits(63) for i, w in enumerate(hub)] if k else hub
+        rows.append((k, 0, *words))
+    rows[15] = (15, 1, *rows[14][2:-1], rows[14][-1] ^ 1)
+    nodes = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in ["node", "probe", *settings.names]))
+    for other in (settings, simhash.Similar(bucket=64), simhash.Similar(bucket=8, prints=3)):
+        assert {tuple(sorted(r)) for r in simhash.bit_links(nodes, other).collect()} == {(14, 15)}
+
+
+def test_settings_of_a_corpus():
+    """The rate at which pairs are found is the same at any size."""
+    import math
+
+    for texts in (0, 1, 10**5, 10**7, 10**10):
+        s = simhash.Similar.of(texts)
+        p = math.acos(1.6 / 1.8) / math.pi
+        share = (1 - p) ** s.segment + s.segment * p * (1 - p) ** (s.segment - 1)
+        assert 1 - (1 - share) ** (s.words * s.per_word) >= 0.98 and texts / 2 ** (s.segment - 1) <= 2
+    assert simhash.Similar.of(10**5) == simhash.Similar()
+
+
+def test_chunks_of_links(spark, monkeypatch):
+    """Contracted in chunks or not, the same components."""
+    import numpy as np
+
+    from declgraph.llm import components
+
+    rng = np.random.default_rng(2)
+    for edges in ([], [(5, 5)], [(i, i + 1) for i in range(500)][::-1], rng.integers(0, 300, (200, 2)).tolist(), rng.integers(-50, 50, (2000, 2)).tolist()):
+        label = {x: x for e in edges for x in e}
+        for _ in range(len(label)):
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        wanted = {x: r for x, r in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+        df = spark.createDataFrame([tuple(e) for e in edges], "a long, b long")
+        for chunk in (1 << 20, 50):
+            monkeypatch.setattr(components, "CHUNK", chunk)
+            assert dict(components.components(df).collect()) == wanted
