@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 #: Entries after which a cache is emptied.
-CACHED = 400_000
+CACHED = 250_000
 #: Pieces of a text that are handled at once.
 BLOCK = 1 << 16
 #: For the usual pattern, one for texts in Latin-1 without ODD characters,
