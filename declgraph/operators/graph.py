@@ -16,17 +16,20 @@ ROUNDS = 40
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(root, node, depth) of all nodes that a root reaches in one step or more; depth is the least number of steps."""
-    known = staged(edges.select(F.col(src).alias("root"), F.col(dst).alias("node")).distinct().withColumn("depth", F.lit(1)))
-    size = known.count()
+    """(root, node, depth) of all nodes that a root reaches in one step or more; depth is the least number of steps.
+
+    Each round joins the pairs that the last one has found or shortened with all known ones, on either side.
+    """
+    known = staged(edges.select(F.col(src).alias("root"), F.col(dst).alias("node")).distinct().select("root", "node", F.lit(1).alias("depth"), F.lit(True).alias("fresh")))
     for _ in range(ROUNDS):
-        on = known.select(F.col("root").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
-        further = known.join(on, "node").select("root", F.col("next").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
-        known = staged(known.unionByName(further).groupBy("root", "node").agg(F.min("depth").alias("depth")))
-        now = known.count()
-        if now == size:
-            return known
-        size = now
+        fresh = known.filter("fresh")
+        if fresh.isEmpty():
+            return known.drop("fresh")
+        on = lambda df: df.select(F.col("root").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
+        longer = fresh.join(on(known), "node").unionByName(known.filter("NOT fresh").join(on(fresh), "node"))
+        found = longer.select("root", F.col("next").alias("node"), (F.col("depth") + F.col("more")).alias("depth"), F.lit(None).cast("int").alias("was"))
+        both = known.select("root", "node", "depth", F.col("depth").alias("was")).unionByName(found).groupBy("root", "node").agg(F.min("depth").alias("depth"), F.min("was").alias("was"))
+        known = staged(both.select("root", "node", "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh")))
     raise RuntimeError(f"the closure did not settle in {ROUNDS} rounds")
 
 

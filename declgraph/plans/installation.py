@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, merge
+from ..operators import graph, joins, merge
 from ..sources import files as sources
 from ..sources import php, specs
 from ..sources.xml import xml_errors, xml_nodes
@@ -274,13 +274,14 @@ class Installation:
 
     def queue_routes(self) -> DataFrame:
         """topic, queue, via, consumer: by the publisher's own queue or by a binding whose pattern fits."""
-        from ..operators.joins import topic_regex
-
         topics = self.merged("topics", ["name"]).filter("area = 'global'").select(F.col("name").alias("topic"))
         direct = self.merged("publishers", ["topic"]).filter("area = 'global' AND queue IS NOT NULL").select("topic", "queue", F.lit("publisher").alias("via"))
         bound = self.merged("bindings", ["exchange", "id"], {c: stated(c) for c in ("topic", "destination", "disabled")}).filter("area = 'global' AND topic IS NOT NULL AND coalesce(disabled, 'false') <> 'true'")
-        regex = F.udf(topic_regex, "string")
-        patterns = bound.select(regex("topic").alias("pattern"), F.col("destination").alias("queue"), F.lit("binding").alias("via"))  # few, by nature of the model
-        by_pattern = topics.join(F.broadcast(patterns), F.expr("topic RLIKE pattern")).select("topic", "queue", "via")
+        wild = F.col("topic").rlike(r"[*#]")
+        same = topics.join(bound.filter(~wild).select("topic", F.col("destination").alias("queue")), "topic").select("topic", "queue", F.lit("binding").alias("via"))
+        patterns = [r[0] for r in bound.filter(wild).select("topic").distinct().collect()]  # as many as bindings with wildcards are declared
+        met = joins.pattern_join(topics, "topic", patterns) if patterns else topics.withColumn("pattern", F.lit(None).cast("string")).limit(0)
+        fits = met.join(bound.filter(wild).select(F.col("topic").alias("pattern"), F.col("destination").alias("queue")), "pattern").select("topic", "queue", F.lit("binding").alias("via"))
+        by_pattern = same.unionByName(fits)
         consumers = self.merged("consumers", ["name"]).filter("area = 'global'").select("queue", F.col("name").alias("consumer"))
         return topics.join(direct.unionByName(by_pattern), "topic", "left").join(consumers, "queue", "left").select("topic", "queue", "via", "consumer").distinct()

@@ -216,7 +216,7 @@ def card_customers(shop):
     found = shop.customer_cards(shop.table("customer_entity").select("email"), F.lit("2025-01-01").cast("timestamp"))
     return found.select(
         "entity_id", "email", "name", "group", "website", "active", "confirmed", "locked", when("last_login_at"), text("addresses", "address_id", "city", "billing", "shipping"), text("newsletter", "store", "subscriber_status"), text("attributes", "attribute", "value"),
-        "orders", "spent", F.date_format("first_order", "yyyy-MM-dd").alias("first_order"), "last_increment", "last_status", "guest_orders",
+        "orders", F.col("spent").cast("decimal(38,4)").alias("spent"), F.date_format("first_order", "yyyy-MM-dd").alias("first_order"), "last_increment", "last_status", "guest_orders",
     )
 
 
@@ -244,18 +244,24 @@ def document_sql(kind: str) -> str:
 LEFT JOIN (SELECT parent_id, {said(fields, order)} AS items FROM sales_{kind}_item GROUP BY 1) i ON i.parent_id = d.entity_id {track}"""
 
 
-def documents(kind: str, *shown) -> Callable[[Cards], DataFrame]:
-    def run(shop: Cards) -> DataFrame:
-        found = shop.document_cards(kind, shop.table(f"sales_{kind}").select("increment_id"))
-        return found.select("entity_id", "increment_id", "order_increment", "order_status", *shown, text("items", "sku", "qty", *([] if kind == "shipment" else ["row_total"])))
+def documents(shop: Cards, kind: str, *shown) -> DataFrame:
+    found = shop.document_cards(kind, shop.table(f"sales_{kind}").select("increment_id"))
+    return found.select("entity_id", "increment_id", "order_increment", "order_status", *shown, text("items", "sku", "qty", *([] if kind == "shipment" else ["row_total"])))
 
-    run.__name__ = f"card_{kind}s"
-    return run
 
+@query(document_sql("invoice"))
+def card_invoices(shop):
+    return documents(shop, "invoice", "grand_total", "transaction_id")
 
-query(document_sql("invoice"))(documents("invoice", "grand_total", "transaction_id"))
-query(document_sql("shipment"))(documents("shipment", "total_qty", text("tracks", "carrier_code", "track_number")))
-query(document_sql("creditmemo"))(documents("creditmemo", "grand_total", "adjustment_negative"))
+
+@query(document_sql("shipment"))
+def card_shipments(shop):
+    return documents(shop, "shipment", "total_qty", text("tracks", "carrier_code", "track_number"))
+
+
+@query(document_sql("creditmemo"))
+def card_creditmemos(shop):
+    return documents(shop, "creditmemo", "grand_total", "adjustment_negative")
 
 
 @query("SELECT d.entity_id, d.increment_id, o.increment_id AS order_increment, d.grand_total AS amount FROM sales_invoice d LEFT JOIN sales_order o ON o.entity_id = d.order_id WHERE d.increment_id LIKE '%42%' ORDER BY d.entity_id DESC LIMIT 50")
