@@ -57,19 +57,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node with an edge; root is the least node it reaches.
 
     edges has columns a and b. Each round lets every node point its larger,
-    then its smaller neighbours to the least one; a table of stars stays as it is.
+    then its smaller neighbours to the least one, until all is stars.
     """
     with batches_of(edges.sparkSession, CHUNK):
         now = staged(contracted(staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))))
-    signature = None
     for _ in range(rounds):
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(CAST(xxhash64(v, u) % 1000003 AS BIGINT))")).first()
-        if seen == signature or not seen[0]:
+        # roots above which there are others; a hub is one row of these
+        least = now.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        above = staged(now.select("v").distinct().join(least.select(F.col("u").alias("v"), "m"), "v"))
+        moves = not above.isEmpty()
+        if not moves and least.filter("n > 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        signature = seen
         # only larger neighbours move in the first step, and they are the rows as they stand
-        least = now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
-        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = now.join(above, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct() if moves else now
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = staged(small.filter("u <> v").distinct())
