@@ -41,7 +41,7 @@ STOP_WORDS = frozenset(
 SYMBOLS = "#*$%&|<>{}^~=@"
 PUNCTUATION = SYMBOLS + "!?.,;:()[]\"'-_/+\\"
 #: Words after which the cache is emptied.
-CACHED = 300_000
+CACHED = 120_000
 
 
 @dataclass(frozen=True)
