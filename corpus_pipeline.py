@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. Between stages the documents are
 written as Parquet and read again.
+
+Defined cases: null and empty texts have too few words and go in the first
+stage; repeated rows are one document to near-dedup; rows without doc_id stay
+there, each; an empty table gives an empty result; other columns are carried
+along to the last stage, which returns doc_id, counts and digests.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """On shingles of five words, for a similarity of 0.8 or more."""
-    return simhash.one_of_each(docs, simhash.Similar(width=5))
+    return simhash.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
