@@ -136,8 +136,8 @@ def constructor_arguments(shop: Catalogues, area: str) -> DataFrame:
 def area_section(shop: Catalogues, area: str) -> DataFrame:
     """type, instance: preferences of an area followed to their ends; what is intercepted is replaced by its interceptor."""
     ends = shop.preference_of(area).select(F.col("node").alias("type"), "target").filter("target IS NOT NULL")
-    plans = interception_plan(shop).select(F.col("class").alias("__c"))
-    own = ends.unionByName(interception_plan(shop).select(F.col("class").alias("type"), F.col("class").alias("target")).join(ends.select("type"), "type", "left_anti"))
+    plans = staged(interception_plan(shop).select(F.col("class").alias("__c")))
+    own = ends.unionByName(plans.select(F.col("__c").alias("type"), F.col("__c").alias("target")).join(ends.select("type"), "type", "left_anti"))
     joined = own.join(plans, F.col("target") == F.col("__c"), "left")
     return joined.select("type", F.when(F.col("__c").isNotNull(), F.concat("target", F.lit("\\Interceptor"))).otherwise(F.col("target")).alias("instance")).orderBy("type")
 

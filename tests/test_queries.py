@@ -3,7 +3,7 @@
 import pytest
 
 from helpers import DATA, rows_in, rows_of
-from declgraph.queries import catalogue, store, tree  # noqa: F401  (they register their queries)
+from declgraph.queries import catalogue, more, store, tree  # noqa: F401  (they register their queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
