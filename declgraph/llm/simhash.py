@@ -230,7 +230,7 @@ class Similar:
     full: int = 2048  #: members of a segment's value beyond which they are held against the least one
     members: int = 256  #: texts that one task verifies together, about
     weight: int = 1 << 20  #: and their shingles
-    prints: int = 4096  #: fingerprints that one task holds against each other, about
+    prints: int = 1024  #: fingerprints that one task holds against each other, about
 
     @classmethod
     def of(cls, texts: int, recall: float = 0.98, similarity: float = 0.8, **more) -> Similar:
