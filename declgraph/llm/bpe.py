@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 #: Entries after which a cache is emptied.
-CACHED = 250_000
+CACHED = 400_000
 #: Pieces of a text that are handled at once.
 BLOCK = 1 << 16
 #: For the usual pattern, one for texts in Latin-1 without ODD characters,
@@ -65,10 +65,11 @@ def merged(data: bytes, ranks: dict[bytes, int], below: int = sys.maxsize) -> li
 class Tokenizer:
     """Encodes and decodes by the ranks of a tiktoken file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int | None = None):
         import ahocorasick
         import regex
 
+        self.cached = cached or CACHED
         self.ranks, self.longest, self.size = ranks, max(map(len, ranks)), max(ranks.values()) + 1
         self.tokens = {i: t for t, i in ranks.items()}
         self.finditer = regex.compile(pattern).finditer
@@ -100,7 +101,7 @@ class Tokenizer:
         key = left * self.size + right
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= CACHED:
+            if len(self.pairs) >= self.cached:
                 self.pairs.clear()
             ranks, tokens, halves, limit = self.ranks, self.tokens, self.halves, sys.maxsize
             while found is None:
@@ -167,7 +168,7 @@ class Tokenizer:
             if long:
                 known = known | long if len(long) < len(pieces) else long
             out.append(b"".join(map(known.__getitem__, pieces)))
-            if len(self.known) > CACHED:
+            if len(self.known) > self.cached:
                 self.aged, self.known = self.known, {}
         return b"".join(out)
 
@@ -179,10 +180,10 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
+def tokenizer(path: str, pattern: str, cached: int | None = None) -> Tokenizer:
     """One for each Python worker."""
     with open(path, "rb") as lines:
-        return Tokenizer({base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}, pattern)
+        return Tokenizer({base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}, pattern, cached)
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -208,11 +209,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_rows(encoded.select("doc_id", "ids"), run, "doc_id long, data binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text; counts and digests of both sides."""
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cached: int | None = None) -> DataFrame:
+    """Encode and decode every text; counts and digests of both sides. cached: pieces that a worker keeps, at most twice."""
 
     def run(keys, texts):
-        t = tokenizer(path, pattern)
+        t = tokenizer(path, pattern, cached)
         rows = []
         for text in texts:
             packed = t.encode(text or "")

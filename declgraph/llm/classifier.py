@@ -40,8 +40,6 @@ STOP_WORDS = frozenset(
 )
 SYMBOLS = "#*$%&|<>{}^~=@"
 PUNCTUATION = SYMBOLS + "!?.,;:()[]\"'-_/+\\"
-#: Words after which the cache is emptied.
-CACHED = 120_000
 
 
 @dataclass(frozen=True)
@@ -51,13 +49,14 @@ class Settings:
     bits: int = 16  #: of the hashed features
     passes: int = 60
     threshold: float = 0.5
+    cached: int = 300_000  #: words after which a worker's cache is emptied
 
 
 class Words(dict):
     """What is asked of a word, packed into one integer: slot of the word, slot of its shape, upper case, stop word."""
 
-    def __init__(self, bits: int):
-        self.mask = (1 << bits) - 1
+    def __init__(self, bits: int, cached: int):
+        self.mask, self.cached = (1 << bits) - 1, cached
 
     def __missing__(self, word: str) -> int:
         core = word.strip(PUNCTUATION)
@@ -67,7 +66,7 @@ class Words(dict):
         packed = slot(f"w {low}", self.mask) | slot(f"s {before[:4]} {case} {after[:4]}", self.mask) << 24
         packed |= (len(word) > 1 and word.isupper()) << 48 | (low.strip(".,;:!?") in STOP_WORDS) << 49
         if len(word) < 100:
-            if len(self) >= CACHED:
+            if len(self) >= self.cached:
                 self.clear()
             self[word] = packed
         return packed
@@ -84,8 +83,8 @@ LABELLERS = ((0.1, 0.04), (0.2, 0.05), (0.5, 0.2), (0.1, 0.03), (0.85, 0.75))
 class Reader:
     """Measures, votes and hashed features of texts."""
 
-    def __init__(self, bits: int):
-        self.words = Words(bits)
+    def __init__(self, bits: int, cached: int = Settings.cached):
+        self.words = Words(bits, cached)
 
     def read(self, text: str | None) -> None:
         text = text or ""
@@ -183,7 +182,7 @@ class Model:
     def score(self, text: str | None) -> tuple[float, float]:
         """(posterior of the text's votes, score of the linear model)."""
         if self.reader is None:
-            self.reader = Reader(self.settings.bits)
+            self.reader = Reader(self.settings.bits, self.settings.cached)
         self.reader.read(text)
         slots, values = self.reader.features()
         z = float(self.weights[slots] @ values)
@@ -195,10 +194,10 @@ class Model:
 
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Weak labels from the votes on all documents, and a scorer from a sample of them."""
-    bits = settings.bits
+    bits, cached = settings.bits, settings.cached
 
     def vote(texts):
-        reader = Reader(bits)
+        reader = Reader(bits, cached)
         return [[pattern(t, reader) for t in texts]]
 
     cast = map_rows(docs.select(text_col), vote, "pattern int")
@@ -209,7 +208,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     drawn = drawn.filter(F.coalesce(F.length(text_col), F.lit(0)) <= settings.longest)
 
     def sparse(draws, texts):
-        reader, rows = Reader(bits), []
+        reader, rows = Reader(bits, cached), []
         for draw, text in zip(draws, texts):
             code = pattern(text, reader)
             slots, values = reader.features()
