@@ -26,7 +26,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return classifier.accepted(docs)
+    """Workers keep what they have filled from stage to stage, so the caches are smaller than the operators' own."""
+    return classifier.accepted(docs, classifier.Settings(cached=120_000))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cached=250_000)
 
 
 STAGES = [("quality rules", rules), ("quality classifier", quality), ("simhash near-dedup", near_dedup), ("mix sources", mix), ("byte-level bpe", tokens)]
