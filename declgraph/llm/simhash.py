@@ -175,7 +175,7 @@ def links(distinct: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame
 
 
 def named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of documents (doc_id, fp) by the edges between fingerprints.
+    """doc_id, fingerprint, component_id of documents (doc_id, fp), a staged table, by the edges between fingerprints.
 
     nodes: fp, first_id, copies. If documents have a column shown, it is given as the fingerprint. Documents are joined on their fingerprint,
     but for those with more than COPIES copies, which are joined by a salt as well.
@@ -185,8 +185,9 @@ def named(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = linked.join(least, "root").select(F.col("node").alias("fp"), "least_id")
     names = staged(nodes.join(linked, "fp", "left").select("fp", "copies", F.coalesce("least_id", "first_id").alias("component_id")))
-    # fingerprints of many copies are repeated for each salt, so that their documents are dealt out
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    # fingerprints of many copies are repeated for each salt, so that their documents are dealt out, whatever their ids:
+    # by their places in the written table, which are the same whenever it is read again
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     many = names.filter(F.col("copies") > COPIES).select(F.col("fp").alias("__fp"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"), "component_id")
     few = names.filter(F.col("copies") <= COPIES).select("fp", "component_id")
     salted = marked.withColumn("salt", salt).join(many, (F.col("fp") == F.col("__fp")) & (F.col("salt") == F.col("__salt")), "left")
