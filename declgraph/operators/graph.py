@@ -78,19 +78,22 @@ def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 def with_paths(nodes: DataFrame, key: str, parent: str, label: Column | None = None) -> DataFrame:
     """nodes with ``path``, the labels from the root down, which sorts them in pre-order, and ``depth``.
 
-    A node whose parent isn't there is a root. Paths are prolonged level by level.
+    A node whose parent isn't there is a root. Each round puts the path of the node above a path's top before it, so
+    a tree of n levels takes about log2(n) rounds. Nodes in a cycle, or below one, have no path and are left out.
     """
-    own = nodes.withColumn("__label", label if label is not None else F.col(key))
-    parents = nodes.select(F.col(key).alias("__parent"))
-    level = own.join(parents, own[parent] == parents["__parent"], "left_anti").withColumn("path", F.array("__label"))
-    done = level
-    for _ in range(10 * ROUNDS):
-        above = level.select(F.col(key).alias("__parent"), F.col("path").alias("__above"))
-        level = staged(own.join(above, own[parent] == above["__parent"]).select(own["*"], F.array_append("__above", F.col("__label")).alias("path")))
-        if level.isEmpty():
-            return done.drop("__label").withColumn("depth", F.size("path") - 1)
-        done = done.unionByName(level)
-    raise RuntimeError("the tree is too deep or has a cycle")
+    there = nodes.select(F.col(key).alias("__above")).distinct()
+    own = nodes.join(there, nodes[parent] == there["__above"], "left").select(nodes[key].alias("__node"), F.array(label if label is not None else F.col(key)).alias("path"), F.col("__above").alias("__up"))
+    walk, left = staged(own), None
+    for _ in range(ROUNDS):
+        count = walk.filter("__up IS NOT NULL").count()
+        if not count or count == left:  # those that are left run in cycles
+            paths = walk.filter("__up IS NULL").select("__node", "path")
+            return nodes.join(paths, nodes[key] == paths["__node"]).drop("__node").withColumn("depth", F.size("path") - 1)
+        left = count
+        on = walk.select(F.col("__node").alias("__at"), F.col("path").alias("__before"), F.col("__up").alias("__next"))
+        longer = F.when(F.col("__before").isNotNull(), F.concat("__before", "path")).otherwise(F.col("path"))
+        walk = staged(walk.join(on, F.col("__up") == F.col("__at"), "left").select("__node", longer.alias("path"), F.col("__next").alias("__up")))
+    raise RuntimeError(f"the tree did not settle in {ROUNDS} rounds")
 
 
 def nearest_by_name(reached: DataFrame, name: str, order: list[str]) -> DataFrame:
