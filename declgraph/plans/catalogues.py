@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import graph, merge
 from ..sources import files as sources
-from ..sources import php, specs, texts
+from ..sources import php, pieces, specs, texts
 from .installation import ORDER, OVERLAID, Installation, flag, stated
 
 #: Fixed by the framework: where commands are registered.
@@ -309,7 +309,7 @@ class Catalogues(Installation):
     def translations(self, needle: str, locale: str | None = None, stored: DataFrame | None = None) -> DataFrame:
         """locale, layer, key, value, path, line: modules first, then packs, themes and the database; later ones win."""
         pattern = r"^(.*)/i18n/([a-z]{2,3}_(?:[A-Za-z]+_)?[A-Z]{2})\.csv$"
-        found = self.files.filter(F.col("path").rlike(pattern)).select("path", "content", F.regexp_extract("path", pattern, 1).alias("root"), F.regexp_extract("path", pattern, 2).alias("locale"))
+        found = self.files.filter(F.col("path").rlike(pattern)).select("path", "content", *pieces.of(self.files), F.regexp_extract("path", pattern, 1).alias("root"), F.regexp_extract("path", pattern, 2).alias("locale"))
         enabled = self.modules.filter("state = 'enabled'").select("root", "load_order")
         layer = F.when(F.startswith("path", F.lit("app/design/")), 3).otherwise(1)
         rows = texts.translations(found.join(enabled, "root", "left").withColumn("layer", layer)).filter(F.col("load_order").isNotNull() | (F.col("layer") == 3))
@@ -373,7 +373,7 @@ class Catalogues(Installation):
         return reduce(DataFrame.unionByName, (mode, front, counts, sessions)).orderBy("topic")
 
     def files_containing(self, needle: str) -> DataFrame:
-        return self.files.filter(F.contains("content", F.lit(needle))).select("path").orderBy("path")
+        return self.files.filter(F.contains("content", F.lit(needle))).select("path").distinct().orderBy("path")
 
     def source_text(self, path: str) -> DataFrame:
         return self.files.filter(F.col("path") == path).select("path", "content")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge
+from ..sources import pieces
 from ..sources.xml import xml_nodes
 from .installation import Installation
 
@@ -14,13 +15,14 @@ OPERATIONS = ("block", "container", "referenceBlock", "referenceContainer", "mov
 
 
 def view_files(shop: Installation) -> DataFrame:
-    """path, content, module, area, part, rest, rank, load_order: below a module's or a theme's view folders; modules come first."""
+    """path, content (and its piece), module, area, part, rest, rank, load_order: below a module's or a theme's view folders; modules come first."""
     enabled = shop.modules.filter("state = 'enabled'").select(F.col("name").alias("module"), "root", "load_order")
     pattern = r"^(.*?)/view/([^/]+)/([^/]+)/(.*)$"
-    own = shop.files.filter(F.col("path").rlike(pattern)).select("path", "content", *(F.regexp_extract("path", pattern, k).alias(n) for k, n in ((1, "root"), (2, "area"), (3, "part"), (4, "rest"))))
-    of_modules = own.join(enabled, "root").select("path", "content", "module", "area", "part", "rest", F.lit(0).alias("rank"), "load_order")
+    kept = ["path", "content", *pieces.of(shop.files)]
+    own = shop.files.filter(F.col("path").rlike(pattern)).select(*kept, *(F.regexp_extract("path", pattern, k).alias(n) for k, n in ((1, "root"), (2, "area"), (3, "part"), (4, "rest"))))
+    of_modules = own.join(enabled, "root").select(*kept, "module", "area", "part", "rest", F.lit(0).alias("rank"), "load_order")
     pattern = r"^app/design/([^/]+)/([^/]+/[^/]+)/([A-Z][A-Za-z0-9]*_[A-Za-z0-9]+)/([^/]+)/(.*)$"
-    theme = shop.files.filter(F.col("path").rlike(pattern)).select("path", "content", *(F.regexp_extract("path", pattern, k).alias(n) for k, n in ((3, "module"), (1, "area"), (4, "part"), (5, "rest"))), F.lit(1).alias("rank"), F.lit(0).alias("load_order"))
+    theme = shop.files.filter(F.col("path").rlike(pattern)).select(*kept, *(F.regexp_extract("path", pattern, k).alias(n) for k, n in ((3, "module"), (1, "area"), (4, "part"), (5, "rest"))), F.lit(1).alias("rank"), F.lit(0).alias("load_order"))
     return of_modules.unionByName(theme)
 
 

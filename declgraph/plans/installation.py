@@ -3,7 +3,8 @@
 An Installation holds the files and gives named tables, each built when it is
 first asked for: silver tables are declarations as they stand in the files,
 gold tables are merged over the load order. ``order`` is the total order of
-declarations: layer, load order, file, place in the file.
+declarations: layer, load order, file, place in the file. Long files may come
+in pieces (sources/pieces.py).
 """
 
 from __future__ import annotations
@@ -242,7 +243,7 @@ class Installation:
         scope_parts = F.when(F.element_at(chain, 2) == "default", 1).otherwise(2)
         leaf = nodes.filter("text <> ''").select(F.slice(chain, 2, F.size(chain)).alias("chain"), F.lit(0).alias("rank"), *ORDER, F.col("text").alias("value"), scope_parts.alias("n"), F.concat(F.lit("module "), "module").alias("source"))
         own = leaf.filter(F.size("chain") > F.col("n")).select(F.expr("array_join(slice(chain, 1, n), '/')").alias("scope"), F.expr("array_join(slice(chain, n + 1, size(chain)), '/')").alias("path"), "value", "rank", F.struct(*ORDER).alias("at"), "source")
-        empty = F.struct(*(F.lit(x).alias(o) for o, x in zip(ORDER, (9, 0, "", 0))))
+        empty = F.struct(*(F.lit(x).alias(o) for o, x in zip(ORDER, (9, 0, "", F.lit(0).cast("long")))))
         layers = [own]
         if stored is not None:
             layers.append(stored.select("scope", "path", "value", F.lit(1).alias("rank"), empty.alias("at"), F.lit("database").alias("source")))

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import doctor, frontend, relations
@@ -88,6 +88,8 @@ KINDS = {
     "template": ("phtml", "", "x",
         "SELECT n_nationkey AS module, n_nationkey AS seq, CAST(n_nationkey % 4 AS varchar(20)) AS name FROM {nation}"),
 }
+#: Rows of a module whose keys lie within so many make a piece of its file: 4,000 of a kind, as the modules are 25.
+PIECE = 100_000
 ENABLED = "module % 5 <> 4 AND module % 7 <> 6"  # in the configuration, and on disk
 
 
@@ -111,7 +113,7 @@ def declared(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
-    """path, content: the files that declare these kinds, and what makes the modules."""
+    """path, content, piece, before: the files that declare these kinds, in pieces, and what makes the modules."""
     kinds = list(dict.fromkeys(["sequence", *kinds]))
     parts, others = [], []
     root = F.concat(F.lit("app/code/M/N"), F.col("module").cast("string"))
@@ -127,14 +129,17 @@ def files(spark: SparkSession, sf_dir: str, kinds: list[str]) -> DataFrame:
         area = F.when(F.col("area") == "global", "").otherwise(F.concat("area", F.lit("/"))) if "area" in rows.columns else F.lit("")
         place = {"i18n": F.lit("/i18n/de_DE.csv"), "layout": F.lit("/view/frontend/layout/page.xml")}.get(name, F.concat(F.lit("/etc/"), area, F.lit(name)))
         parts.append(rows.select(F.concat(root, place).alias("path"), F.lit(around).alias("around"), "seq", rendered(pattern).alias("text")))
-    lines = reduce(DataFrame.unionByName, parts)
-    # a module's file is one value by nature
+    lines = reduce(DataFrame.unionByName, parts).withColumn("piece", F.expr(f"seq div {PIECE}"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
-    whole = lines.groupBy("path", "around").agg(body.alias("body"))
+    written = lines.groupBy("path", "piece").agg(F.first("around").alias("around"), body.alias("body"))
+    long = lines.groupBy("path", "piece").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = written.join(long.select("path", "piece", before.alias("before")), ["path", "piece"])
     tagged = F.when(F.col("around") == "", F.col("body")).otherwise(F.concat(F.lit("<"), "around", F.lit(">\n"), "body", F.lit("\n</"), "around", F.lit(">")))
     listed = ", ".join(f"'M_N{k}' => {int(k % 5 != 4)}" for k in range(25))
     config = spark.createDataFrame([("app/etc/config.php", f"<?php return ['modules' => [{listed}]];"), ("app/code/M/Extra/etc/module.xml", '<config><module name="M_Extra"/></config>')], "path string, content string")
-    return reduce(DataFrame.unionByName, [whole.select("path", tagged.alias("content")), config, *others])
+    single = [df.select("path", "content", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("before")) for df in (config, *others)]
+    return reduce(DataFrame.unionByName, [whole.select("path", tagged.alias("content"), "piece", "before"), *single])
 
 
 def over_rows(sql: str, kinds: list[str]) -> str:

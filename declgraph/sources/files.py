@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import php
+from . import php, pieces
 from .xml import xml_nodes
 
 #: Areas in their order; the first is the base of the others.
@@ -21,8 +21,9 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def overlaid(files: DataFrame, buffers: DataFrame) -> DataFrame:
     """Buffers (path, content) take the place of files and add new ones."""
-    other = buffers.select("path", F.col("content").alias("__buffer"))
-    return files.join(other, "path", "full_outer").select("path", F.coalesce("__buffer", "content").alias("content"))
+    other = buffers.select("path", "content")
+    rest = files.join(other.filter("content IS NOT NULL"), "path", "left_anti")
+    return rest.unionByName(other.join(rest, "path", "left_anti"), allowMissingColumns=True)
 
 
 def root_of(path: Column) -> Column:
@@ -52,11 +53,11 @@ def located(files: DataFrame, known: DataFrame) -> DataFrame:
     area = F.when(F.contains(tail, F.lit("/")), F.substring_index(tail, "/", 1)).otherwise("global")
     name = F.substring_index("path", "/", -1)
     primary = etc.filter(F.startswith("path", F.lit("app/etc/")) & F.col("path").endswith("di.xml")).select(
-        "path", "content", F.lit(None).cast("string").alias("module"), F.lit("global").alias("area"), F.lit("di.xml").alias("file"), F.lit(0).alias("layer"), F.lit(-1).alias("load_order")
+        "path", "content", *pieces.of(files), F.lit(None).cast("string").alias("module"), F.lit("global").alias("area"), F.lit("di.xml").alias("file"), F.lit(0).alias("layer"), F.lit(-1).alias("load_order")
     )
     own = etc.filter(~F.startswith("path", F.lit("app/etc/"))).withColumn("root", root_of(F.col("path")))
     enabled = known.filter("state = 'enabled'").select(F.col("name").alias("module"), "root", "load_order")
-    return primary.unionByName(own.join(enabled, "root").select("path", "content", "module", area.alias("area"), name.alias("file"), F.when(area == "global", 1).otherwise(2).alias("layer"), "load_order"))
+    return primary.unionByName(own.join(enabled, "root").select("path", "content", *pieces.of(files), "module", area.alias("area"), name.alias("file"), F.when(area == "global", 1).otherwise(2).alias("layer"), "load_order"))
 
 
 def classes(files: DataFrame) -> DataFrame:

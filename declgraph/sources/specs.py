@@ -85,7 +85,7 @@ def place(tags: tuple[str, ...]) -> Column:
     """Whether a node's chain of tags ends in these."""
     chain = F.concat(F.transform("trail", lambda t: t["tag"]), F.array("tag"))
     n = len(tags)
-    return (F.size(chain) >= n) & (F.slice(chain, -n, n) == F.array(*map(F.lit, tags)))
+    return (F.col("tag") == tags[-1]) & (F.size(chain) >= n) & (F.slice(chain, -n, n) == F.array(*map(F.lit, tags)))
 
 
 def value(source: str) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pieces
+
 ROWS = "array<struct<key: string, value: string, line: int>>"
 TYPES = "array<struct<kind: string, name: string, line: int, interfaces: array<string>, members: array<string>, fields: array<struct<name: string, type: string, line: int, resolver: string>>>>"
 
@@ -51,10 +53,11 @@ def csv_rows(text: str | None) -> list[dict]:
 
 
 def translations(files: DataFrame) -> DataFrame:
-    """The rows of CSV dictionaries: the files' columns but content, key, value, line, and reset where both are equal."""
-    kept = [c for c in files.columns if c != "content"]
-    rows = files.select(*kept, F.explode(F.udf(csv_rows, ROWS, useArrow=True)("content")).alias("r"))
-    return rows.select(*kept, "r.key", "r.value", "r.line", (F.col("r.key") == F.col("r.value")).alias("reset"))
+    """The rows of CSV dictionaries: the files' columns but content and piece, key, value, line, and reset where both are equal."""
+    kept = [c for c in files.columns if c not in ("content", *pieces.PIECES)]
+    before = F.coalesce("before", F.lit(0)).alias("__before") if "before" in files.columns else F.lit(0).alias("__before")
+    rows = files.select(*kept, before, F.explode(F.udf(csv_rows, ROWS, useArrow=True)("content")).alias("r"))
+    return rows.select(*kept, "r.key", "r.value", (F.col("r.line") + F.col("__before")).cast("int").alias("line"), (F.col("r.key") == F.col("r.value")).alias("reset"))
 
 
 def dictionary(rows: DataFrame, order: list[str]) -> DataFrame:
