@@ -174,9 +174,8 @@ class Installation:
     def observers(self) -> DataFrame:
         declared = self.declared("observers")
         own = self.per_area(declared).withColumn("source", F.struct("module", "path", "line"))
-        merged = merge.merge_attr(own, ["area", "event", "name"], {"disabled": flag("disabled"), "shared": flag("shared")}, ORDER, source="source")
-        last = merge.merge_last(own, ["area", "event", "name"], ORDER).select("area", "event", "name", "instance")  # replaced even by none
-        return merged.join(last, ["area", "event", "name"])
+        attrs = {"disabled": flag("disabled"), "shared": flag("shared"), "instance": F.struct("instance")}  # replaced even by none
+        return merge.merge_attr(own, ["area", "event", "name"], attrs, ORDER, source="source").withColumn("instance", F.col("instance.instance"))
 
     @cached_property
     def routes(self) -> DataFrame:
