@@ -2,17 +2,45 @@
 
 Reachability doubles its reach each round, so a path of n steps takes about
 log2(n) rounds; each round is a join and an aggregation and ends in a
-checkpoint. Cycles are harmless: a pair that is known isn't new.
+checkpoint. Cycles are harmless: a pair that is known isn't new. Tasks grow in
+number with the pairs, and a node that many reach is dealt out over several.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import staged
 
 ROUNDS = 40
+TASK = 1_000_000  #: rows that a task should get at most
+SHARES = 1_000  #: a key with more than this part of all rows, and than a tenth of a task's, is dealt out
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int) -> DataFrame:
+    """The inner join on key, in which left rows of a key that many have are dealt out by a hash of ``by``.
+
+    rows: about how many left has. The right rows of such a key are repeated for each of its shares, so there
+    are no more of them than of the result; the keys themselves are fewer than SHARES.
+    """
+    spark, limit = left.sparkSession, max(TASK // 10, rows // SHARES)
+    often = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).filter(F.col(key).isNotNull()) if rows > limit else None
+    found = often.select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__shares")).collect() if often is not None else []
+    on = [key]
+    if found:
+        shares = F.broadcast(spark.createDataFrame(found, f"{key} {left.schema[key].dataType.simpleString()}, __shares int"))
+        left = left.join(shares, key, "left").withColumn("__share", F.pmod(F.xxhash64(by), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
+        right = right.join(shares, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
+        on = [key, "__share"]
+    if rows > TASK:
+        n = tasks(spark, rows)
+        left, right = left.repartition(n, *on), right.repartition(n, *on)
+    return left.join(right, on).drop("__share")
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -25,10 +53,12 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         fresh = known.filter("fresh")
         if fresh.isEmpty():
             return known.drop("fresh")
+        rows = known.count()
         on = lambda df: df.select(F.col("root").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
-        longer = fresh.join(on(known), "node").unionByName(known.filter("NOT fresh").join(on(fresh), "node"))
+        longer = spread_join(fresh, on(known), "node", "root", rows).unionByName(spread_join(known.filter("NOT fresh"), on(fresh), "node", "root", rows))
         found = longer.select("root", F.col("next").alias("node"), (F.col("depth") + F.col("more")).alias("depth"), F.lit(None).cast("int").alias("was"))
-        both = known.select("root", "node", "depth", F.col("depth").alias("was")).unionByName(found).groupBy("root", "node").agg(F.min("depth").alias("depth"), F.min("was").alias("was"))
+        both = known.select("root", "node", "depth", F.col("depth").alias("was")).unionByName(found)
+        both = (both.repartition(tasks(known.sparkSession, 3 * rows), "root", "node") if rows > TASK else both).groupBy("root", "node").agg(F.min("depth").alias("depth"), F.min("was").alias("was"))
         known = staged(both.select("root", "node", "depth", (F.col("was").isNull() | (F.col("depth") < F.col("was"))).alias("fresh")))
     raise RuntimeError(f"the closure did not settle in {ROUNDS} rounds")
 
