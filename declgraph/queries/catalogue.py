@@ -274,7 +274,10 @@ def preorder(spark, sf_dir):
 SELECT root, p_brand, arg_min(node, (depth, node)) AS node, min(depth) AS depth FROM c JOIN part ON node = p_partkey GROUP BY 1, 2""")
 def nearest_by_name(spark, sf_dir):
     reached = graph.closure(halves(spark, sf_dir).filter("src > 0"))
-    named = reached.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_brand"), "node")
+    rows = reached.count()
+    named = graph.spread_join(reached, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_brand"), "node", "root", rows)
+    if rows > graph.TASK:
+        named = named.repartition(graph.tasks(spark, rows), "root")
     return graph.nearest_by_name(named, "p_brand", ["node"]).select("root", "p_brand", "node", "depth")
 
 
@@ -284,7 +287,8 @@ FROM part p LEFT JOIN c ON c.root = p.p_partkey LEFT JOIN part a ON a.p_partkey
 def visibility_over_ancestors(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     flagged = part.filter("p_size > 45").select(F.col("p_partkey").alias("node"))
-    hidden = graph.closure(halves(spark, sf_dir).filter("src > 0")).join(flagged, "node", "left_semi").select(F.col("root").alias("p_partkey")).distinct()
+    reached = graph.closure(halves(spark, sf_dir).filter("src > 0"))
+    hidden = graph.spread_join(reached, flagged.distinct(), "node", "root", reached.count()).select(F.col("root").alias("p_partkey")).distinct()
     return part.select("p_partkey").join(hidden.withColumn("hidden", F.lit(True)), "p_partkey", "left").select("p_partkey", F.coalesce("hidden", F.lit(False)).alias("hidden"))
 
 
