@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -28,9 +28,19 @@ TOTALS = ("subtotal", "shipping_amount", "tax_amount", "discount_amount", "grand
 
 
 def listed(cards: DataFrame, key: str, rows: DataFrame, on: str, name: str, show: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """cards with ``name``: the rows of each key as structs of ``show``, by ``order``, or by what is shown. Empty without rows."""
-    item = F.struct(F.struct(*(order or show)).alias("at"), F.struct(*show).alias("row"))
-    found = rows.groupBy(F.col(on).alias("__on")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["row"]).alias(name))
+    """cards with ``name``: the rows of each key as structs of ``show``, by ``order``, or by what is shown. Empty without rows.
+
+    A window sorts the rows by key once, and the join takes them in that order; an
+    aggregation into lists sorts them before and after the shuffle, and the join its lists.
+    """
+    row = F.struct(*show)
+    item = F.struct(F.struct(*order).alias("at"), row.alias("row")) if order else row
+    every = Window.partitionBy("__on").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    until = Window.partitionBy("__on").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # without an order of its own, so that sorted rows aren't sorted again
+    each = rows.filter(F.col(on).isNotNull()).select(F.col(on).alias("__on"), item.alias("__item"))
+    found = each.select("__on", F.collect_list("__item").over(every).alias("__items"), F.count(F.lit(1)).over(until).alias("__at")).filter("__at = 1")
+    items = F.array_sort("__items")
+    found = found.select("__on", (F.transform(items, lambda x: x["row"]) if order else items).alias(name))
     kind = found.schema[name].dataType
     return cards.join(found, F.col(key) == F.col("__on"), "left").drop("__on").withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
@@ -436,8 +446,9 @@ class Cards(Live):
         names = ["entity_id", "increment_id", "state", "status", "status_label", "store_id", "created_at", "updated_at", "customer_id", "customer_email", "base_currency_code", "order_currency_code", "coupon_code", "shipping_method", "total_qty_ordered", "quote_id"]
         totals = F.array(*(F.struct(F.lit(t).alias("total"), F.col(t).alias("amount"), F.col(f"base_{t}").alias("base")) for t in TOTALS))
         guest = (F.coalesce("customer_is_guest", F.lit(0)) != 0).alias("guest")
-        cards = self.with_store(rows.select(*names, F.concat_ws(" ", "customer_firstname", "customer_lastname").alias("customer"), guest, totals.alias("totals")), fallback=False).drop("store_id")
-        key = cards.select("entity_id")
+        amounts = [f"{p}{t}" for t in TOTALS for p in ("", "base_")]  # plain until the last join: an array of structs is twice as long
+        cards = self.with_store(rows.select(*names, F.concat_ws(" ", "customer_firstname", "customer_lastname").alias("customer"), guest, *amounts), fallback=False).drop("store_id")
+        key = keys if column == "entity_id" else cards.select("entity_id")  # the joins drop what has no order
         zero = [F.coalesce(f"qty_{q}", F.lit(0)).alias(f"qty_{q}") for q in ("ordered", "invoiced", "shipped", "refunded", "canceled")]
         items = self.of("sales_order_item", key, "order_id", "entity_id").select("order_id", "item_id", "sku", "name", "product_type", F.col("parent_item_id").isNotNull().alias("child"), *zero, "price", "row_total")
         cards = listed(cards, "entity_id", items, "order_id", "items", [c for c in items.columns if c not in ("order_id", "item_id")], ["item_id"])
@@ -456,7 +467,7 @@ class Cards(Live):
         said = self.of("sales_order_status_history", key, "parent_id", "entity_id").withColumnRenamed("entity_id", "history_id").withColumn("notified", F.coalesce("is_customer_notified", F.lit(0)) != 0)
         cards = listed(cards, "entity_id", said.select("parent_id", "history_id", "status", "comment", "created_at", "notified"), "parent_id", "history", ["status", "comment", "created_at", "notified"], ["history_id"])
         grid = self.of("sales_order_grid", key, "entity_id").select(F.col("entity_id").alias("__g")).distinct()
-        return cards.join(grid, F.col("entity_id") == F.col("__g"), "left").withColumn("in_grid", F.col("__g").isNotNull()).drop("__g")
+        return cards.join(grid, F.col("entity_id") == F.col("__g"), "left").withColumn("in_grid", F.col("__g").isNotNull()).withColumn("totals", totals).drop("__g", *amounts)
 
     # attributes, scopes and what else one row says
 
