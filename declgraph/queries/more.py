@@ -87,7 +87,8 @@ def presence_diff_with_null_keys(spark, sf_dir):
 def php_methods(spark, sf_dir):
     each = F.transform(F.sequence(F.lit(0), "p_size"), lambda i: F.concat(F.lit(" /* function no() */ public function m"), i.cast("string"), F.lit("(array $a = ['x(', 1], ?B $b = null) { return 'function f('; }")))
     source = F.concat(F.lit("<?php namespace N; class C {"), F.array_join(each, "\n"), F.lit("}"))
-    found = table(spark, sf_dir, "part").filter("p_size < 20").select("p_partkey", php.methods_of(source).alias("m"))
+    rows = table(spark, sf_dir, "part").filter("p_size < 20").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # a small file of few row groups, with long work on each row
+    found = rows.select("p_partkey", php.methods_of(source).alias("m"))
     return found.select("p_partkey", F.size("m.methods").alias("methods"), F.element_at("m.methods", -1)["name"].alias("last"))
 
 
