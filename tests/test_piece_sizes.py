@@ -11,6 +11,7 @@ COPIES, SHIFT = 15, 20_000  #: of each table; keys to 300,000
 LINES = {"part": 40, "customer": 30, "supplier": 5}  #: of a module within 100,000 keys, at most: 5 copies of 200, 150 and 10 rows over 25 modules
 READ = {
     "tree_arguments": ["argument"],
+    "tree_summary": ["preference", "plugin", "virtual", "argument"],
 }
 
 
