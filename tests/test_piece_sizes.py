@@ -12,6 +12,7 @@ LINES = {"part": 40, "customer": 30, "supplier": 5}  #: of a module within 100,0
 READ = {
     "tree_arguments": ["argument"],
     "tree_summary": ["preference", "plugin", "virtual", "argument"],
+    "tree_area_section": ["preference"],
 }
 
 
