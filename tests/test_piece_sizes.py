@@ -13,6 +13,7 @@ READ = {
     "tree_arguments": ["argument"],
     "tree_summary": ["preference", "plugin", "virtual", "argument"],
     "tree_area_section": ["preference"],
+    "tree_config_section": ["setting"],
 }
 
 
