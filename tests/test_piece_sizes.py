@@ -14,6 +14,7 @@ READ = {
     "tree_summary": ["preference", "plugin", "virtual", "argument"],
     "tree_area_section": ["preference"],
     "tree_config_section": ["setting"],
+    "tree_fieldsets": ["fieldset"],
 }
 
 
