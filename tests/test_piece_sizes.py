@@ -15,6 +15,7 @@ READ = {
     "tree_area_section": ["preference"],
     "tree_config_section": ["setting"],
     "tree_fieldsets": ["fieldset"],
+    "tree_columns": ["table", "column"],
 }
 
 
