@@ -16,6 +16,7 @@ READ = {
     "tree_config_section": ["setting"],
     "tree_fieldsets": ["fieldset"],
     "tree_columns": ["table", "column"],
+    "tree_catalog_attributes": ["catalogue"],
 }
 
 
