@@ -17,6 +17,7 @@ READ = {
     "tree_fieldsets": ["fieldset"],
     "tree_columns": ["table", "column"],
     "tree_catalog_attributes": ["catalogue"],
+    "tree_routes": ["route"],
 }
 
 
