@@ -18,6 +18,7 @@ READ = {
     "tree_columns": ["table", "column"],
     "tree_catalog_attributes": ["catalogue"],
     "tree_routes": ["route"],
+    "tree_webapi": ["webapi"],
 }
 
 
